@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .mixing import OP7_SQL, op7_source_mix
+from .packing import op6_best_fit_packing
 from .quality import OP1_SQL, op1_quality_rules
+from .token_files import op10_token_files
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_source_mix": op7_source_mix,
+    "op10_token_files": op10_token_files,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL, "op7_source_mix": OP7_SQL}
