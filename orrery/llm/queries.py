@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .media import op8_media_columns
 from .mixing import OP7_SQL, op7_source_mix
 from .packing import op6_best_fit_packing
 from .quality import OP1_SQL, op1_quality_rules
 from .token_files import op10_token_files
+from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_warc": op5_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_source_mix": op7_source_mix,
+    "op8_media_columns": op8_media_columns,
     "op10_token_files": op10_token_files,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op7_source_mix": OP7_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op5_warc": OP5_SQL, "op7_source_mix": OP7_SQL}
