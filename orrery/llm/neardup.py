@@ -1,9 +1,9 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian verification, exact confirmation.
 
 Documents with equal shingle sets form a class first, so copies cost one row each. Classes that share a
-band are compared with a pivot of their bucket, not with each other: after connected components,
-only buckets that still hold several components go on, with further pivots, until every pair of a
-bucket is either in one component or compared. Work is thus linear in a bucket of near copies.
+band are compared with one class of their bucket, not with each other: after connected components,
+only buckets that still hold several components go on. Small ones are finished, large ones are
+split by further bands first. Work is thus linear in a bucket of near copies.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -25,8 +25,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Signature values compared at a time, and the chance of dropping a pair at the threshold in one step.
 STEP, MISS = 32, 1e-7
-#: Pivots that an unresolved bucket gets in one round.
-PIVOTS = 16
+#: Members up to which an unresolved bucket is finished at once.
+SMALL = 32
 _R = np.random.default_rng(20240229)
 _A = _R.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _R.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
@@ -129,58 +129,75 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(cls, label) for every end of ``links`` (a, b): label is the component's smallest class.
 
-    Alternating large and small stars; each round is a minimum per node and one join, written to
-    the shared folder. The driver sees a count and a checksum.
+    Alternating large and small stars; a round is two minima per node and two joins, written to the
+    shared folder. It ends when every node has one edge, to a node without a smaller neighbour.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    seen = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct(), "large-star")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct(), "small-star")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
+        edges = materialize(small.distinct(), "stars")
+        ends = edges.groupBy("u").agg(F.count("*").alias("n"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("low")).distinct())
+        if ends.groupBy("u").agg(F.sum("n").alias("n"), F.max("low").alias("low")).where("n > 1 or (n = 1 and low = 1)").isEmpty():
             break
-        seen = now
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("label")).distinct())
 
 
+def band_hashes(first: int | str = 0):
+    """Structs (bucket, k) of a signature's bands from ``first`` (a number or a column's name) on."""
+    every = F.array(*(F.struct(F.xxhash64(F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS), F.lit(k)).alias("bucket"), F.lit(k).alias("k")) for k in range(BANDS)))
+    if first == 0:
+        return every
+    return F.slice(every, F.col(first) + 1, F.lit(BANDS) - F.col(first))
+
+
 def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cls, label) of the classes that are linked with others."""
+    """(cls, label) of the classes that are linked with others.
+
+    Every bucket's members are compared with its smallest class and components are formed. A bucket
+    that still holds several components is finished if it has SMALL members at most: those outside
+    its main component are compared with all others. A larger one is split by each later band, for
+    a pair at the threshold shares several bands, and its parts go on in the same way; a part that
+    no band splits further is finished whatever its size.
+    """
     picked = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(picked, "classes")
-    bands = classes.select("cls", F.explode(F.array(*(F.xxhash64(F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS), F.lit(k)) for k in range(BANDS)))).alias("bucket"))
+    bands = classes.select("cls", F.explode(band_hashes()).alias("b")).select("cls", "b.*")
     shared = bands.groupBy("bucket").count().where("count > 1").select("bucket")
     members = materialize(bands.join(shared, "bucket"), "band-members")
     # texts of the classes that have candidates; a doc_id may come with several texts, so cls is checked
     wanted = members.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
-    texts = materialize(_texts(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")), "candidate-texts", 2000)
-    texts = texts.dropDuplicates(["cls"]) if texts.groupBy("cls").count().where("count > 1").limit(1).count() else texts
-    pivots = members.groupBy("bucket").agg(F.min("cls").alias("a"))
-    pairs = members.join(pivots, "bucket").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    tested = materialize(pairs, "pairs")
-    links = materialize(confirm(materialize(plausible(tested, classes), "plausible"), texts), "confirmed", 1000)
-    done = materialize(pivots.select("bucket", F.col("a").alias("cls")), "pivots")
+    texts = _texts(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text"))
+    texts = materialize(texts.dropDuplicates(["cls"]), "candidate-texts", 2000)
+    first = members.groupBy("bucket").agg(F.min("cls").alias("a"))
+    tested = members.join(first, "bucket").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    links = materialize(confirm(plausible(tested, classes), texts), "confirmed", 1000)
+    labels = components(links)
     while True:
-        labels = components(links)
         named = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        groups = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        most = groups.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("k")).where("k > 1")
-        left = named.join(most.select("bucket", "main"), "bucket").where("label <> main").join(done, ["bucket", "cls"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("cls"), "cls"))
-        chosen = materialize(left.withColumn("turn", turn).where(F.col("turn") <= PIVOTS).select("bucket", "cls", "label"), "chosen")
-        if chosen.isEmpty():
+        groups = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("k").alias("k"), F.min("cls").alias("low"))
+        mixed = groups.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("m"), F.count("*").alias("labels"), F.min("low").alias("low")).where("labels > 1").drop("labels")
+        mixed = materialize(named.join(mixed, "bucket"), "mixed")
+        if mixed.isEmpty():
             return labels
-        new = named.join(chosen.select("bucket", F.col("cls").alias("p"), F.col("label").alias("pl")), "bucket").where("label <> pl")
-        new = new.select(F.least("p", "cls").alias("a"), F.greatest("p", "cls").alias("b")).distinct()
-        new = materialize(new.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-        found = materialize(confirm(materialize(plausible(new, classes), "plausible"), texts), "confirmed", 1000)
-        tested, done = tested.unionByName(new), done.unionByName(chosen.select("bucket", "cls"))
-        links = links.unionByName(found)
+        whole = (F.col("m") <= SMALL) | (F.col("k") >= BANDS - 1)
+        left = mixed.where(whole & (F.col("label") != F.col("main"))).select("bucket", F.col("cls").alias("p"), F.col("label").alias("pl"))
+        new = mixed.where(whole).select("bucket", "cls", "label").join(left, "bucket").where("label <> pl").select("cls", "p")
+        split = mixed.where(~whole).select("bucket", "cls", "k", "label").join(classes.select("cls", "sig"), "cls")
+        split = split.withColumn("__from", F.col("k") + 1).select("cls", "label", F.col("bucket").alias("__in"), F.explode(band_hashes("__from")).alias("b"))
+        split = split.select("cls", "label", F.xxhash64("__in", "b.bucket").alias("bucket"), "b.k")
+        parts = split.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("cls").alias("low")).where("l0 <> l1").select("bucket", "low")
+        members = materialize(split.join(parts, "bucket").select("bucket", "cls", "k", "low"), "band-members")
+        star = members.where("cls <> low").select("cls", F.col("low").alias("p"))
+        new = new.unionByName(star).select(F.least("p", "cls").alias("a"), F.greatest("p", "cls").alias("b")).distinct()
+        new = materialize(new.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(confirm(plausible(new, classes), texts), "confirmed", 1000)
+        members, tested = members.drop("low"), tested.unionByName(new)
+        if not found.isEmpty():
+            labels = components(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")).unionByName(found))
 
 
 def _texts(rows: DataFrame) -> DataFrame:
