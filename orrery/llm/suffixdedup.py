@@ -27,8 +27,8 @@ from .textkit import by_bytes, mix, powers, prefix_hash, span_hash
 LENGTH = 400
 #: Bytes of a minimizer and period of the cover sample.
 K, V = 64, 16
-#: Spans that a worker sorts together.
-BLOCK = 2048
+#: Spans that a worker sorts together, and neighbouring starts of a larger bucket that are judged at once.
+BLOCK, PART = 2048, 16
 _U = np.uint64
 
 
@@ -217,25 +217,70 @@ def _sort_buckets(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", "tag", "pos", "h", "need", "span").repartition("h").sortWithinPartitions("h").mapInArrow(run, RANGES)
 
 
+def _parts(spans: DataFrame) -> DataFrame:
+    """Hot runs cut into PART neighbouring distances: (key columns, part, a, n, c, x, y).
+
+    Parts are aligned to the minimizer, so equal strings lie in parts of one number. c is the hash of
+    the bytes that all strings of a whole part share, x and y are the digest of all bytes of its own.
+    """
+    kind = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64()), ("need", pa.bool_()), ("part", pa.int32()), ("a", pa.int64()), ("n", pa.int32()), ("c", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                out: dict[str, list] = {n: [] for n in kind.names}
+                for doc, tag, pos, h, need, span in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True):
+                    p, low, high = pos >> 20, pos >> 10 & 1023, pos & 1023
+                    for g in range(low // PART, high // PART + 1):
+                        near, far = max(low, g * PART), min(high, g * PART + PART - 1)
+                        core = span[high - g * PART if high >= g * PART else 0 : high - (g * PART + PART - 1) + LENGTH]
+                        own = hashlib.blake2b(span[high - far : high - near + LENGTH], digest_size=16, key=b"%d,%d,%d" % (near, far, h)).digest()
+                        c = xxhash.xxh3_64_intdigest(core, g) - (1 << 63)
+                        x, y = np.frombuffer(own, "<i8").tolist()
+                        for k, v in (("doc_id", doc), ("tag", tag), ("pos", pos), ("need", need), ("part", g), ("a", p - far), ("n", far - near + 1), ("c", c), ("x", x), ("y", y)):
+                            out[k].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=kind)
+
+    return spans.select("doc_id", "tag", "pos", "h", "need", "span").mapInArrow(run, "doc_id long, tag long, pos long, need boolean, part int, a long, n int, c long, x long, y long")
+
+
 def _count_strings(spans: DataFrame) -> DataFrame:
-    """Covered ranges for large buckets: every string by its digest, counted with partial sums."""
+    """Covered ranges for large buckets, by digests that are counted with partial sums.
+
+    A part whose common bytes occur once has no repeat; a part that occurs twice whole repeats
+    whole; of the others, one for each content, every string is digested and counted.
+    """
+    parts = materialize(_parts(spans), "hot-parts")
+    kinds = parts.groupBy("c", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "pos", "part", "need")).alias("one"))
+    kinds = materialize(kinds, "hot-kinds")
+    whole = parts.where("need").join(kinds.where("n > 1").select("c", "x", "y"), ["c", "x", "y"])
+    found = whole.select("doc_id", "tag", "a", (F.col("a") + F.col("n") - 1 + LENGTH).alias("b"))
+    open_ = kinds.join(kinds.groupBy("c").count().where("count > 1").select("c"), "c")
+    wanted = open_.select("one.doc_id", "one.tag", "one.pos", "one.part", (F.col("one.need") & (F.col("n") == 1)).alias("ask"))
+    wanted = wanted.groupBy("doc_id", "tag", "pos").agg(F.collect_list(F.struct("part", "ask")).alias("parts"))
     kind = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("need", pa.bool_()), ("x", pa.int64()), ("y", pa.int64())])
 
     def digests(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
+            for i in range(0, batch.num_rows, 256):
                 out: dict[str, list] = {n: [] for n in kind.names}
-                for doc, tag, pos, need, span in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True):
-                    begin = (pos >> 20) - (pos & 1023)
-                    n = len(span) - LENGTH + 1
-                    keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(span[k : k + LENGTH]) for k in range(n)), np.int64).reshape(n, 2)
-                    for k, x in (("doc_id", [doc] * n), ("tag", [tag] * n), ("at", range(begin, begin + n)), ("need", [need] * n), ("x", keys[:, 0].tolist()), ("y", keys[:, 1].tolist())):
-                        out[k].extend(x)
+                for doc, tag, pos, span, asked in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True):
+                    p, low, high = pos >> 20, pos >> 10 & 1023, pos & 1023
+                    for w in asked:
+                        near, far = max(low, w["part"] * PART), min(high, w["part"] * PART + PART - 1)
+                        ks = range(high - far, high - near + 1)
+                        keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(span[k : k + LENGTH]) for k in ks), np.int64).reshape(len(ks), 2)
+                        for k, x in (("doc_id", [doc] * len(ks)), ("tag", [tag] * len(ks)), ("at", [p - high + k for k in ks]), ("need", [w["ask"]] * len(ks)), ("x", keys[:, 0].tolist()), ("y", keys[:, 1].tolist())):
+                            out[k].extend(x)
                 yield pa.RecordBatch.from_pydict(out, schema=kind)
 
-    starts = materialize(spans.select("doc_id", "tag", "pos", "need", "span").mapInArrow(digests, "doc_id long, tag long, at long, need boolean, x long, y long"), "hot-strings", 512)
+    s = spans.select("doc_id", "tag", "pos", "span").alias("s")
+    both = s.join(wanted.alias("w"), F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.tag") == F.col("w.tag")) & (F.col("s.pos") == F.col("w.pos")))
+    rows = both.select("s.doc_id", "s.tag", "s.pos", "s.span", "w.parts").mapInArrow(digests, "doc_id long, tag long, at long, need boolean, x long, y long")
+    starts = materialize(rows, "hot-strings", 512)
     twice = starts.groupBy("x", "y").count().where("count > 1").select("x", "y")
-    return starts.where("need").join(twice, ["x", "y"]).select("doc_id", "tag", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))
+    last = starts.where("need").join(twice, ["x", "y"]).select("doc_id", "tag", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))
+    return found.unionByName(last)
 
 
 def covered(docs: DataFrame) -> DataFrame:
