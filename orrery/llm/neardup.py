@@ -25,7 +25,7 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Signature values compared at a time, and the chance of dropping a pair at the threshold in one step.
 STEP, MISS = 32, 1e-7
-#: Members up to which an unresolved bucket is finished at once.
+#: Members outside the main component up to which a bucket is finished at once.
 SMALL = 32
 _R = np.random.default_rng(20240229)
 _A = _R.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -157,11 +157,11 @@ def band_hashes(first: int | str = 0):
 def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
     """(cls, label) of the classes that are linked with others.
 
-    Every bucket's members are compared with its smallest class and components are formed. A bucket
-    that still holds several components is finished if it has SMALL members at most: those outside
-    its main component are compared with all others. A larger one is split by each later band, for
-    a pair at the threshold shares several bands, and its parts go on in the same way; a part that
-    no band splits further is finished whatever its size.
+    Every bucket's members are compared with its most connected class and components are formed. A bucket
+    that still holds several components is finished if SMALL members at most are outside its main
+    one: they are compared with all others. If there are more it is split by each later band, for a
+    pair at the threshold shares several bands, and its parts go on in the same way; a part that no
+    band splits further is finished whatever its size.
     """
     picked = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(picked, "classes")
@@ -172,30 +172,33 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = members.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
     texts = _texts(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text"))
     texts = materialize(texts.dropDuplicates(["cls"]), "candidate-texts", 2000)
-    first = members.groupBy("bucket").agg(F.min("cls").alias("a"))
-    tested = members.join(first, "bucket").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    # the class with the most neighbours is near the middle of its group: a better pivot than any other
+    degrees = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").groupBy("cls").agg(F.sum("n").alias("deg"))
+    members = materialize(members.join(degrees, "cls"), "band-members")
+    first = members.groupBy("bucket").agg(F.max(F.struct("deg", "cls"))["cls"].alias("p"))
+    tested = materialize(members.join(first, "bucket").where("cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct(), "pairs")
     links = materialize(confirm(plausible(tested, classes), texts), "confirmed", 1000)
     labels = components(links)
     while True:
         named = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        groups = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("k").alias("k"), F.min("cls").alias("low"))
-        mixed = groups.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("m"), F.count("*").alias("labels"), F.min("low").alias("low")).where("labels > 1").drop("labels")
+        groups = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("k").alias("k"))
+        mixed = groups.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0").select("bucket", "main.label", "rest").withColumnRenamed("label", "main")
         mixed = materialize(named.join(mixed, "bucket"), "mixed")
         if mixed.isEmpty():
             return labels
-        whole = (F.col("m") <= SMALL) | (F.col("k") >= BANDS - 1)
+        whole = (F.col("rest") <= SMALL) | (F.col("k") >= BANDS - 1)
         left = mixed.where(whole & (F.col("label") != F.col("main"))).select("bucket", F.col("cls").alias("p"), F.col("label").alias("pl"))
         new = mixed.where(whole).select("bucket", "cls", "label").join(left, "bucket").where("label <> pl").select("cls", "p")
-        split = mixed.where(~whole).select("bucket", "cls", "k", "label").join(classes.select("cls", "sig"), "cls")
-        split = split.withColumn("__from", F.col("k") + 1).select("cls", "label", F.col("bucket").alias("__in"), F.explode(band_hashes("__from")).alias("b"))
-        split = split.select("cls", "label", F.xxhash64("__in", "b.bucket").alias("bucket"), "b.k")
-        parts = split.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("cls").alias("low")).where("l0 <> l1").select("bucket", "low")
-        members = materialize(split.join(parts, "bucket").select("bucket", "cls", "k", "low"), "band-members")
-        star = members.where("cls <> low").select("cls", F.col("low").alias("p"))
+        split = mixed.where(~whole).select("bucket", "cls", "k", "deg", "label").join(classes.select("cls", "sig"), "cls")
+        split = split.withColumn("__from", F.col("k") + 1).select("cls", "deg", "label", F.col("bucket").alias("__in"), F.explode(band_hashes("__from")).alias("b"))
+        split = split.select("cls", "deg", "label", F.xxhash64("__in", "b.bucket").alias("bucket"), "b.k")
+        parts = split.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct("deg", "cls", "label")).alias("mid")).where("l0 <> l1").select("bucket", "mid")
+        members = materialize(split.join(parts, "bucket").select("bucket", "cls", "k", "deg", "label", "mid"), "band-members")
+        star = members.where("label <> mid.label").select("cls", F.col("mid.cls").alias("p"))
         new = new.unionByName(star).select(F.least("p", "cls").alias("a"), F.greatest("p", "cls").alias("b")).distinct()
         new = materialize(new.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialize(confirm(plausible(new, classes), texts), "confirmed", 1000)
-        members, tested = members.drop("low"), tested.unionByName(new)
+        members, tested = members.drop("label", "mid"), tested.unionByName(new)
         if not found.isEmpty():
             labels = components(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")).unionByName(found))
 
