@@ -12,9 +12,9 @@ from itertools import islice
 _CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ ,.\n]|$)|[,.]+(?=[ \n]|$)|\n(?=\S)|\s*\S+|\s+")
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Special tokens and characters that the libraries class differently: such texts go through whole.
-_WHOLE = re.compile(r"<\||[\x1c-\x1f]")
+_WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Words a memo may hold before it is cut back to those met in more than one batch.
-MEMO = 500_000
+MEMO = 800_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -112,7 +112,7 @@ class Encoder:
         return [b"".join(map(get, c)) for c in cut]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if _WHOLE.search(t)}
+        whole = {i for i, t in enumerate(texts) if any(x in t for x in _WHOLE)}
         cut = [[] if i in whole else t.split(" ") for i, t in enumerate(texts)]
         firsts = [c.pop(0) if c else "" for c in cut]
         self._pieces(self.pieces.missing(set().union(*cut)))
