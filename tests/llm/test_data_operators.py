@@ -108,7 +108,7 @@ def test_packing_is_tight():
     bound = -(-(counts * np.arange(2049)).sum() // 2048)
     assert sum(n for _, n in plan) <= 1.01 * bound + 1
     many = packing.plan(counts * 1000)
-    assert len(many) < 3 * 2048  # the plan does not grow with the corpus
+    assert len(packing.plan(counts * 100_000)) < 1.1 * len(many)  # the plan does not grow with the corpus
     assert packing.plan(np.zeros(2049, np.int64)) == []
 
 
