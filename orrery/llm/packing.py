@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
                     out[name].append(v)
         return out or None
 
-    return arrow_map(docs.select("doc_id", "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(docs.select("doc_id", "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long", 1024)
 
 
 def patterns(counts: np.ndarray, size: int = LENGTH) -> list[tuple[int, ...]]:

@@ -87,8 +87,8 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = END) ->
             yield (head := MAGIC + digest + bytes([4 if wide else 2]))
             at = len(head)
             for b in batches:
-                for i in range(0, b.num_rows, 128):
-                    part = b.slice(i, 128)
+                for i in range(0, b.num_rows, 1024):
+                    part = b.slice(i, 1024)
                     doc_ids.extend(part.column(0).to_pylist())
                     for x in encoder(tokenizer).ids([t or "" for t in part.column(1).to_pylist()]):
                         ids = np.frombuffer(x + mark, "<u4")
