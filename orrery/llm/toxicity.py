@@ -24,7 +24,7 @@ def feature_ids(words: np.ndarray) -> np.ndarray:
     for gap, salt in ((1, 2), (2, 3), (3, 4)):
         if len(words) > gap:
             out.append(mix(words[:-gap] * _U(0x9E3779B97F4A7C15) + (words[gap:] ^ _U(salt))) >> shift)
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate(out).astype(np.int32)
 
 
 def text_features(texts: list[str | None]):
