@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -27,6 +27,8 @@ HASHES = BANDS * ROWS
 STEP, MISS = 32, 1e-7
 #: Members outside the main component up to which a bucket is finished at once.
 SMALL = 32
+#: Parts of a class's rows in the last join, so that copies of one text are spread over tasks.
+SALTS = 16
 _R = np.random.default_rng(20240229)
 _A = _R.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _R.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
@@ -227,17 +229,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     base = materialize(prepare(docs), "near-base")
     labels = link_classes(base, docs)
-    own = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    own = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).join(labels, "cls", "left")
+    # most classes are one document without links: their component is the document itself
+    own = own.where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "cls"))
     lowest = own.groupBy("label").agg(F.min("low").alias("component_id"))
-    # by class, so that a large component is no single task's work: only classes with others are joined by label
-    named = own.join(lowest, "label").select("cls", "component_id")
-    rows = base.select("doc_id", "n_shingles", "cls")
+    named = own.join(lowest, "label").select("cls", F.struct("component_id").alias("found"))
     # copies of one text share a class: the class side is repeated over salts
-    salts = 16
-    named = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    named = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = base.select("doc_id", "n_shingles", "cls").withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     out = rows.join(named, ["cls", "__salt"], "left")
-    out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    out = out.withColumn("component_id", F.when(F.col("found").isNull(), F.col("doc_id")).otherwise(F.col("found.component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -247,8 +248,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Kept is the component's smallest doc_id; rows that repeat that doc_id with an equal text are
     reduced to one.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"])).drop("__kept").dropDuplicates(["doc_id", "text"])
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    kept = near_duplicates(docs).where("kept").select(key.alias("__key"))
+    rows = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
+    # the window has the join's partitioning: texts are shuffled once
+    same = Window.partitionBy("__key").orderBy("text")
+    again = (F.row_number().over(same) > 1) & F.lag("text").over(same).eqNullSafe(F.col("text"))
+    return rows.withColumn("__again", again).where("not __again").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op2_minhash_neardup(spark, sf_dir: str) -> DataFrame:
