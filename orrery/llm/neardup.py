@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets form a class first, so copies cost one row each. Classes that share a
 band are compared with one class of their bucket, not with each other: after connected components,
-only buckets that still hold several components go on. Small ones are finished, large ones are
-split by further bands first. Work is thus linear in a bucket of near copies.
+only buckets that still hold several components go on. Small ones are finished, the members of
+large ones meet again by their rarest shingles. Work is thus linear in a bucket of near copies.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ HASHES = BANDS * ROWS
 STEP, MISS = 32, 1e-7
 #: Members outside the main component up to which a bucket is finished at once.
 SMALL = 32
+#: Frequent shingles that the order of rare_prefixes knows of.
+COMMON = 20_000
 #: Parts of a class's rows in the last join, so that copies of one text are spread over tasks.
 SALTS = 16
 _R = np.random.default_rng(20240229)
@@ -148,12 +150,51 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("label")).distinct())
 
 
-def band_hashes(first: int | str = 0):
-    """Structs (bucket, k) of a signature's bands from ``first`` (a number or a column's name) on."""
-    every = F.array(*(F.struct(F.xxhash64(F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS), F.lit(k)).alias("bucket"), F.lit(k).alias("k")) for k in range(BANDS)))
-    if first == 0:
-        return every
-    return F.slice(every, F.col(first) + 1, F.lit(BANDS) - F.col(first))
+def band_hashes():
+    """Structs (bucket, k) of a signature's bands."""
+    return F.array(*(F.struct(F.xxhash64(F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS), F.lit(k)).alias("bucket"), F.lit(k).alias("k")) for k in range(BANDS)))
+
+
+def rare_prefixes(texts: DataFrame) -> DataFrame:
+    """(cls, bucket): the rarest n - ceil(0.75 n) + 1 shingles of each text.
+
+    Two sets with similarity 0.75 share one of these, whatever order of shingles is used; with common
+    shingles last, a line or passage that many texts share makes no bucket. The counts are those
+    of at most COMMON shingles, gathered from each task's most frequent ones.
+    """
+
+    def frequent(batches):
+        seen: dict[int, int] = {}
+        for b in batches:
+            for _, blobs in by_bytes(b.column(1).to_pylist()):
+                own, n = np.unique(np.concatenate(shingle_sets(blobs, SHINGLE)), return_counts=True)
+                for h, k in zip(own[n > 1].tolist(), n[n > 1].tolist(), strict=True):
+                    seen[h] = seen.get(h, 0) + k
+            if len(seen) > 20 * COMMON:
+                seen = dict(sorted(seen.items(), key=lambda e: -e[1])[:COMMON])
+        top = sorted(seen.items(), key=lambda e: (-e[1], e[0]))[:COMMON]
+        yield pa.RecordBatch.from_pydict({"h": [h - (1 << 63) for h, _ in top], "n": [n for _, n in top]}, schema=pa.schema([("h", pa.int64()), ("n", pa.int64())]))
+
+    texts = texts.select("cls", "text")
+    counts = texts.mapInArrow(frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    common = np.array(sorted((r["h"] + (1 << 63), r["n"]) for r in counts), np.uint64).reshape(-1, 2)
+    shared = texts.sparkSession.sparkContext.broadcast(common)  # at most COMMON rows
+
+    def run(batches):
+        hashes, n = shared.value[:, 0], shared.value[:, 1]
+        for b in batches:
+            for at, blobs in by_bytes(b.column(1).to_pylist()):
+                cls, out = b.column(0).slice(at, len(blobs)).to_pylist(), []
+                for s in shingle_sets(blobs, SHINGLE):
+                    count = np.zeros(len(s), np.uint64)
+                    if len(hashes):
+                        near = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                        count = np.where(hashes[near] == s, n[near], 0)
+                    size = len(s) + (-len(s) * NUM // DEN) + 1
+                    out.append(s[np.lexsort((s, count))[:size]].view(np.int64))
+                yield pa.RecordBatch.from_pydict({"cls": [c for c, x in zip(cls, out, strict=True) for _ in x], "bucket": np.concatenate(out)}, schema=pa.schema([("cls", pa.binary()), ("bucket", pa.int64())]))
+
+    return materialize(texts.mapInArrow(run, "cls binary, bucket long"), "prefixes")
 
 
 def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
@@ -161,9 +202,9 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
 
     Every bucket's members are compared with its most connected class and components are formed. A bucket
     that still holds several components is finished if SMALL members at most are outside its main
-    one: they are compared with all others. If there are more it is split by each later band, for a
-    pair at the threshold shares several bands, and its parts go on in the same way; a part that no
-    band splits further is finished whatever its size.
+    one: they are compared with all others. If there are more, its members are put in new buckets by
+    their rarest shingles, which loses no pair at the threshold; those go on in the same way and are
+    finished whatever their size.
     """
     picked = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(picked, "classes")
@@ -188,12 +229,11 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
         mixed = materialize(named.join(mixed, "bucket"), "mixed")
         if mixed.isEmpty():
             return labels
-        whole = (F.col("rest") <= SMALL) | (F.col("k") >= BANDS - 1)
+        whole = (F.col("rest") <= SMALL) | (F.col("k") >= BANDS)
         left = mixed.where(whole & (F.col("label") != F.col("main"))).select("bucket", F.col("cls").alias("p"), F.col("label").alias("pl"))
         new = mixed.where(whole).select("bucket", "cls", "label").join(left, "bucket").where("label <> pl").select("cls", "p")
-        split = mixed.where(~whole).select("bucket", "cls", "k", "deg", "label").join(classes.select("cls", "sig"), "cls")
-        split = split.withColumn("__from", F.col("k") + 1).select("cls", "deg", "label", F.col("bucket").alias("__in"), F.explode(band_hashes("__from")).alias("b"))
-        split = split.select("cls", "deg", "label", F.xxhash64("__in", "b.bucket").alias("bucket"), "b.k")
+        big = mixed.where(~whole).select("cls", "deg", "label").distinct()
+        split = rare_prefixes(texts.join(big.select("cls"), "cls", "left_semi")).join(big, "cls").withColumn("k", F.lit(BANDS))
         parts = split.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct("deg", "cls", "label")).alias("mid")).where("l0 <> l1").select("bucket", "mid")
         members = materialize(split.join(parts, "bucket").select("bucket", "cls", "k", "deg", "label", "mid"), "band-members")
         star = members.where("label <> mid.label").select("cls", F.col("mid.cls").alias("p"))
