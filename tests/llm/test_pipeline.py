@@ -41,4 +41,5 @@ def test_empty_and_odd_tables(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty_docs(spark), "").count() == 0, name
         out = stage(spark, odd_docs(spark), "")
-        assert out.count() >= 1
+        # none of the odd texts has a stop word, so the rules reject them all
+        assert (out.count() == 0) == (name == "quality rules"), name
