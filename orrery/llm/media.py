@@ -14,7 +14,8 @@ from .shared import arrow_map
 
 RATE = 8000
 ALIGN = 64
-FRAME, HOP = 256, 256
+#: Frames overlap by three quarters, so each sample is near the middle of one.
+FRAME, HOP = 256, 64
 #: Frequency bands (bins) of which each frame gives its strongest bin as a peak.
 BANDS = ((2, 10), (10, 24), (24, 56), (56, 128))
 #: An anchor is paired with the peaks of this many following frames, band by band.
@@ -39,19 +40,24 @@ def load(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def n_frames(size: int) -> int:
+    """Frames of a payload: each HOP samples start one, and FRAME - HOP samples of silence lie before and after."""
+    return -(-size // HOP) + FRAME // HOP - 1
+
+
 def fingerprint(payload: bytes) -> np.ndarray:
     """Time-coded peak pairs: anchor frame << 32 | anchor bin << 20 | paired bin << 8 | frames between.
 
-    Frames of FRAME samples (the last zero-padded) give the strongest bin of each band; an anchor
-    is paired with the same and the next band of the FAN following frames. Silent bands give no peak.
+    Frames of FRAME samples give the strongest bin of each band; an anchor is paired with the
+    same and the next band of the FAN following frames. Silent bands give no peak.
     """
-    x = np.frombuffer(payload, np.uint8).astype(np.float32) - 128
-    n = -(-len(x) // HOP)
+    n, edge = n_frames(len(payload)), FRAME - HOP
+    x = np.zeros((n - 1) * HOP + FRAME, np.float32)
+    x[edge : edge + len(payload)] = np.frombuffer(payload, np.uint8).astype(np.float32) - 128
+    windows = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     bins, loud = [], []
     for at in range(0, n, 1024):  # a long text is transformed in blocks of 1024 frames
-        part = np.zeros((min(1024, n - at), FRAME), np.float32)
-        flat = x[at * HOP : (at + len(part)) * HOP]
-        part.ravel()[: len(flat)] = flat
+        part = windows[at : at + 1024]
         power = np.abs(np.fft.rfft((part - part.mean(1, keepdims=True)) * _HANN, axis=1)).astype(np.float32)
         top = np.stack([power[:, a:b].argmax(1) + a for a, b in BANDS], 1)
         bins.append(top)
@@ -102,7 +108,7 @@ def describe(media: DataFrame, key: str = "doc_id") -> DataFrame:
             "tail_crc32": [zlib.crc32(p[-ALIGN:]) for p in read],
             "media_bytes": [len(m) for m in stored],
             "media_sha256": [hashlib.sha256(m).hexdigest() for m in stored],
-            "feature": [f"frames={-(-len(p) // HOP)};pairs={len(f)};{hashlib.sha1(f.astype('<i8').tobytes()).hexdigest()}" for p, f in zip(read, prints, strict=True)],
+            "feature": [f"frames={n_frames(len(p))};pairs={len(f)};{hashlib.sha1(f.astype('<i8').tobytes()).hexdigest()}" for p, f in zip(read, prints, strict=True)],
         }
 
     kind = dict(media.dtypes)[key]
