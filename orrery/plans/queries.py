@@ -296,6 +296,22 @@ def halo_ordered(spark, d):
     return halo_by_gidx(spark, d).orderBy("ordinal").select("ordinal", "mtop")
 
 
+_ASK = "CAST(event_id AS BIGINT) AS ordinal, (event_id * 7919) % {n} AS gidx"
+
+
+@query("halo_by_gidx_all", f"{Hq} SELECT ordinal, r.gidx, file, id, mtop FROM (SELECT {_ASK.format(n='(SELECT count(*) FROM orders)')} FROM events) r JOIN halos h ON r.gidx = h.gidx")
+def halo_by_gidx_all(spark, d):
+    """Every event is a request, and the requests spread over all halos."""
+    n = max(S.table(spark, d, "orders").count(), 1)
+    ask = S.table(spark, d, "events").selectExpr(*S._split(_ASK.format(n=n)))
+    return H.by_global_index(S.halos(spark, d), ask).select("ordinal", "gidx", "file", "id", "mtop")
+
+
+@query("halo_ordered_all", f"{Hq} SELECT ordinal, mtop FROM (SELECT {_ASK.format(n='(SELECT count(*) FROM orders)')} FROM events) r JOIN halos h ON r.gidx = h.gidx ORDER BY ordinal")
+def halo_ordered_all(spark, d):
+    return halo_by_gidx_all(spark, d).orderBy("ordinal").select("ordinal", "mtop")
+
+
 @query("gidx_to_haloid", f"{Hq} SELECT gidx, file, id FROM halos WHERE gidx % 3 = 0")
 def gidx_to_haloid(spark, d):
     counts = S.halos(spark, d).groupBy("file").agg(F.count("*").alias("n"))
