@@ -221,6 +221,25 @@ def by_id_in_volume(spark, d):
     return selection.by_ids(_p(spark, d), _ids(spark, d), center=CENTER, radius=250.0).select(*COLS)
 
 
+_DEAR = f"SELECT {S.ID} AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 250000"
+
+
+def _dear(spark, d):
+    """The ids of all orders above a price: about half of the table at every scale."""
+    dear = S.table(spark, d, "orders").where("o_totalprice > 250000")
+    return S.table(spark, d, "lineitem").join(dear, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").selectExpr(f"{S.ID} AS id")
+
+
+@query("ids_semi_all", f"{P} SELECT {C} FROM p WHERE id IN ({_DEAR})")
+def ids_semi_all(spark, d):
+    return selection.by_ids(_p(spark, d), _dear(spark, d)).select(*COLS)
+
+
+@query("by_id_in_volume_all", f"{P} SELECT {C} FROM p WHERE id IN ({_DEAR}) AND {_where([c - 250 for c in CENTER], [c + 250 for c in CENTER])}")
+def by_id_in_volume_all(spark, d):
+    return selection.by_ids(_p(spark, d), _dear(spark, d), center=CENTER, radius=250.0).select(*COLS)
+
+
 _FIND = "f AS (SELECT o_orderkey AS ordinal, o_custkey AS value FROM orders), c AS (SELECT event_id AS pos, user_id AS value FROM events)"
 
 

@@ -40,3 +40,14 @@ def test_every_event_asks_for_a_halo(spark, duck):
     assert len(got) == events and len({r[1] for r in got}) == min(events, halos)
     assert max(r[1] for r in got) > 0.99 * halos and {r[2] for r in got} == {0, 1, 2, 3}
     assert [r[0] for r in rows(spark, duck, "halo_ordered_all")] == list(range(events))
+
+
+def test_id_list_grows_with_the_table(spark, duck):
+    ids = {r[0] for r in duck.execute(Q._DEAR).fetchall()}
+    assert {r[0] for r in Q._dear(spark, SF).collect()} == ids
+    assert 0.4 < len(ids) / one(duck, "SELECT count(*) FROM lineitem") < 0.6
+    low, high = duck.execute("SELECT min(l_orderkey), max(l_orderkey) FROM lineitem").fetchone()
+    assert min(ids) // 10**12 < low + 20 and max(ids) // 10**12 > high - 20
+    assert {r[0] for r in rows(spark, duck, "ids_semi_all")} == ids
+    inside = {r[0] for r in rows(spark, duck, "by_id_in_volume_all")}
+    assert inside and inside < ids
