@@ -337,6 +337,18 @@ def gidx_to_haloid(spark, d):
     return H.locate(S.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("gidx")), counts)
 
 
+@query("gidx_to_haloid_all", f"{Hq} SELECT gidx, file, id FROM halos")
+def gidx_to_haloid_all(spark, d):
+    counts = S.halos(spark, d).groupBy("file").agg(F.count("*").alias("n"))
+    return H.locate(S.table(spark, d, "orders").select(F.col("o_orderkey").alias("gidx")), counts)
+
+
+@query("halo_by_id_all", f"{Hq} SELECT file, id, mtop, glen FROM halos")
+def halo_by_id_all(spark, d):
+    """Every halo by the (file, id) that its global index has."""
+    return H.by_locator(S.halos(spark, d), gidx_to_haloid_all(spark, d)).select("file", "id", "mtop", "glen")
+
+
 _HR = f"{Hq}, r AS (SELECT file, id - 1 AS row, id - 1 - row_number() OVER (PARTITION BY file ORDER BY id) AS g FROM halos WHERE mtop > 150000)"
 
 

@@ -51,3 +51,10 @@ def test_id_list_grows_with_the_table(spark, duck):
     assert {r[0] for r in rows(spark, duck, "ids_semi_all")} == ids
     inside = {r[0] for r in rows(spark, duck, "by_id_in_volume_all")}
     assert inside and inside < ids
+
+
+def test_every_index_and_every_locator(spark, duck):
+    halos = one(duck, "SELECT count(*) FROM orders")
+    got = rows(spark, duck, "gidx_to_haloid_all")
+    assert {r[0] for r in got} == set(range(halos)) and len(got) == halos
+    assert {r[:2] for r in rows(spark, duck, "halo_by_id_all")} == {r[1:] for r in got}
