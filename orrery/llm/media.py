@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .shared import arrow_map
+from .shared import arrow_map, materialize
 
 RATE = 8000
 ALIGN = 64
@@ -20,6 +20,8 @@ FRAME, HOP = 256, 64
 BANDS = ((2, 10), (10, 24), (24, 56), (56, 128))
 #: An anchor is paired with the peaks of this many following frames, band by band.
 FAN = 2
+#: Version 2 pages write the sorted time codes as differences.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 _HANN = np.hanning(FRAME).astype(np.float32)
 
 
@@ -91,15 +93,17 @@ def media_columns(docs: DataFrame, fingerprints: bool = True, text: str = "text"
 
 
 def describe(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests of a media table (key, n_bytes, media), read from the stored bytes.
+    """Digests of a media table (key, n_bytes, media, fingerprint), read from what it stores.
 
-    ``feature`` names the number of frames and of peak pairs and the SHA-1 of the time-coded array.
+    ``feature`` names the number of frames and of peak pairs and the SHA-1 of the time-coded array,
+    which is computed from the payload only where the table has no fingerprint column.
     """
+    made = "fingerprint" in media.columns
 
     def rows(part):
         stored = [m.as_py() for m in part["media"]]
         read = [load(m) for m in stored]
-        prints = [fingerprint(p) for p in read]
+        prints = [f.values.to_numpy() for f in part["fingerprint"]] if made else [fingerprint(p) for p in read]
         return {
             key: part[key],
             "n_bytes": part["n_bytes"],
@@ -113,10 +117,10 @@ def describe(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     kind = dict(media.dtypes)[key]
     return arrow_map(
-        media.select(key, "n_bytes", "media"), rows,
+        media.select(key, "n_bytes", "media", *["fingerprint"] * made), rows,
         f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", 64)
 
 
 def op8_media_columns(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return describe(media_columns(docs, fingerprints=False))
+    return describe(materialize(media_columns(docs), "media", 1000, STORED))

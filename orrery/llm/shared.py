@@ -22,17 +22,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, batch_rows: int | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and outlives executors.
 
     ``batch_rows`` holds the rows of an Arrow batch down while it is written, for rows with whole texts.
+    ``options`` are the writer's.
     """
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path, before = fresh_path(spark, label), spark.conf.get(name)
     try:
         if batch_rows:
             spark.conf.set(name, str(batch_rows))
-        df.write.parquet(path)
+        df.write.options(**options or {}).parquet(path)
     finally:
         spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)

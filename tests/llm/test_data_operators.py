@@ -182,6 +182,24 @@ def test_media_frames_overlap():
     assert min(seen.values()) > 0.6 * seen[128] > 10, seen
 
 
+def test_media_table_is_stored_with_fingerprints(spark, tmp_path, monkeypatch):
+    docs, tables = odd_docs(spark), []
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = media.materialize
+    monkeypatch.setattr(media, "materialize", lambda *a, **k: tables.append(kept(*a, **k)) or tables[-1])
+    got = media.op8_media_columns(spark, str(tmp_path)).collect()
+    (table,) = tables
+    assert table.columns == ["doc_id", "n_bytes", "media", "fingerprint"] and table.inputFiles()
+    rows = table.collect()
+    assert len(rows) == docs.count() and all(len(r.fingerprint) for r in rows)
+    for r in rows:
+        assert r.fingerprint == media.fingerprint(media.load(bytes(r.media))).tolist()
+    assert sorted(map(str, got)) == sorted(map(str, media.describe(media.media_columns(docs, fingerprints=False)).collect()))
+    other = media.describe(table.selectExpr("doc_id", "n_bytes", "media", "array(1L, 2L, 3L) AS fingerprint")).collect()
+    digest = hashlib.sha1(np.array([1, 2, 3], "<i8").tobytes()).hexdigest()
+    assert {r.feature.split(";", 1)[1] for r in other} == {f"pairs=3;{digest}"}
+
+
 TEXTS = {
     "en": "the house was near the river and they would often walk there with the children in the evening light",
     "de": "das haus lag nahe am fluss und sie gingen oft abends mit den kindern dort spazieren über die wiese",
