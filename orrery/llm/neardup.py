@@ -69,19 +69,26 @@ def least_matches(step: int = STEP, hashes: int = HASHES, miss: float = MISS) ->
     return tuple(out)
 
 
-def prepare(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, sig) of each row: cls names its shingle set, null if that is empty."""
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())])
+def prepare(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, cls, sig) of each row: cls names its shingle set, null if that is empty.
+
+    ``digests`` adds the text's ``digest``, which with doc_id is the key of a row.
+    """
+    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary()), *[("digest", pa.binary())] * digests])
 
     def run(batches):
         for b in batches:
             ids = b.column(0)
-            for at, blobs in by_bytes(b.column(1).to_pylist()):
+            texts = b.column(1).to_pylist()
+            for at, blobs in by_bytes(texts):
                 sets = shingle_sets(blobs, SHINGLE)
                 cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(at, len(blobs)), "n_shingles": [len(s) for s in sets], "cls": cls, "sig": [signature(s) for s in sets]}, schema=kind)
+                out = {"doc_id": ids.slice(at, len(blobs)), "n_shingles": [len(s) for s in sets], "cls": cls, "sig": [signature(s) for s in sets]}
+                if digests:
+                    out["digest"] = [b"" if t is None else hashlib.md5(t.encode()).digest() for t in texts[at : at + len(blobs)]]
+                yield pa.RecordBatch.from_pydict(out, schema=kind)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig binary" + ", digest binary" * digests)
 
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -283,18 +290,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of ``docs``.
+    """One row of each component, with the columns of ``docs``.
 
-    Kept is the component's smallest doc_id; rows that repeat that doc_id with an equal text are
-    reduced to one.
+    Kept is the row of the component's smallest doc_id (a null one is the largest), of rows that
+    repeat that one the text of the smallest digest. Rows without shingles are components of their
+    own; those that repeat both doc_id and text are reduced to one.
     """
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    kept = near_duplicates(docs).where("kept").select(key.alias("__key"))
-    rows = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
+    base = materialize(prepare(docs, digests=True), "near-base")
+    labels = link_classes(base, docs)
+    own = base.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest")).alias("row"))
+    first = own.join(labels, "cls", "left").groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("row").alias("row"))
+    keys = first.select("row.doc_id", "row.digest").unionByName(base.where("cls is null").select("doc_id", "digest"))
+    # a null doc_id gets a key of its own by the flag, so that the join is one of plain equality
+    key = [F.isnull("doc_id").alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__key")]
+    kept = keys.select(*key, F.col("digest").alias("__digest"))
+    rows = docs.select("*", *key, F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("__digest"))
+    rows = rows.join(kept, ["__none", "__key", "__digest"], "left_semi")
     # the window has the join's partitioning: texts are shuffled once
-    same = Window.partitionBy("__key").orderBy("text")
-    again = (F.row_number().over(same) > 1) & F.lag("text").over(same).eqNullSafe(F.col("text"))
-    return rows.withColumn("__again", again).where("not __again").select(*(f"`{c}`" for c in docs.columns))
+    same = Window.partitionBy("__none", "__key", "__digest").orderBy("__key")
+    return rows.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op2_minhash_neardup(spark, sf_dir: str) -> DataFrame:

@@ -155,3 +155,20 @@ def test_substrings_are_cut_from_rows(spark):
     by_id = {r.doc_id: r for r in out.collect()}
     assert by_id[1].text == "" and by_id[1].n_chars == 0 and by_id[4].text is None and by_id[7].text == "one"
     assert suffixdedup.substring_report(empty_docs(spark)).count() == 0
+
+
+def test_one_row_of_each_component_on_repeated_and_null_ids(spark):
+    def pair(seed):
+        text = words(120, seed)
+        near = text.split()
+        near[60] = "changed"
+        return text, " ".join(near)
+
+    (a, a2), (x, x2), (c, c2), (d, d2), b, y = pair(901), pair(902), pair(903), pair(904), words(120, 905), words(120, 906)
+    rows = [(7, a), (7, a2), (7, a), (None, x), (None, x2), (None, y), (3, c), (5, c2), (5, b), (1, d), (None, d2), (8, ""), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in neardup.drop_near_duplicates(docs).collect()]
+    assert sorted(t for i, t in got if i == 7) in ([a], [a2])
+    assert [t for i, t in got if i is None and t in (x, x2)] in ([x], [x2])
+    rest = [(None, y), (3, c), (5, b), (1, d), (8, ""), (8, None)]
+    assert sorted(map(str, (r for r in got if r[0] != 7 and r[1] not in (x, x2)))) == sorted(map(str, rest))
