@@ -50,7 +50,7 @@ STAGES = [
     ("source mix", mix_sources),
     ("packing", pack),
 ]
-#: SQL cannot express the tokenizer; the stages are tested against brute-force versions.
+#: SQL cannot express the tokenizer. The tests compare stages with the operators they are made of, not with brute force.
 ORACLE_SQL = None
 
 
