@@ -11,6 +11,7 @@ from ..functions import hilbert
 from ..functions.geometry import Cube, Cylinder, Shell, Sphere, position
 from ..operators import halos as H
 from ..operators import lookup, rows, selection, simlog
+from ..sources import snapshot
 from . import surrogate as S
 
 BOX = 1000.0
@@ -204,6 +205,20 @@ def positions_roundtrip(spark, d):
     return rows.load(spark, path)
 
 
+@query("snapshot_roundtrip", f"{PQ} SELECT id, parttype, file, row, x, y, z, rho, u, mass_block FROM q")
+def snapshot_roundtrip(spark, d):
+    """The whole particle table through the binary sink, one sub-file a task, in the shared folder and back."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    path = f"{root.removeprefix('file://').removeprefix('file:')}/snapshot-{uuid.uuid4().hex}/snap"
+    snapshot.register(spark)
+    blocks = S.with_rows(_p(spark, d)).selectExpr("file", "parttype", "row", "id AS ID", "array(x, y, z) AS POS", "rho AS RHO", "u AS U", "mass_block AS MASS")
+    blocks.repartitionById(4, F.col("file")).write.format("particles").mode("append").save(path)
+    back = snapshot.read(spark, path)
+    return back.selectExpr("ID AS id", "parttype", "file", "row", "POS[0] AS x", "POS[1] AS y", "POS[2] AS z", "RHO AS rho", "U AS u", "MASS AS mass_block")
+
+
 _IDS = "SELECT l_orderkey*1000000000000 + l_partkey*10000000 + l_suppkey*1000 + l_linenumber*100 + CAST(l_quantity AS BIGINT) AS id FROM lineitem WHERE l_partkey < 200"
 
 

@@ -58,3 +58,8 @@ def test_every_index_and_every_locator(spark, duck):
     got = rows(spark, duck, "gidx_to_haloid_all")
     assert {r[0] for r in got} == set(range(halos)) and len(got) == halos
     assert {r[:2] for r in rows(spark, duck, "halo_by_id_all")} == {r[1:] for r in got}
+
+
+def test_whole_snapshot_is_written_and_read(spark, duck):
+    got = rows(spark, duck, "snapshot_roundtrip")
+    assert len(got) == one(duck, "SELECT count(*) FROM lineitem") and {r[2] for r in got} == {0, 1, 2, 3}
