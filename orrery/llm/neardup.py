@@ -1,9 +1,15 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian verification, exact confirmation.
 
-Documents with equal shingle sets form a class first, so copies cost one row each. Classes that share a
-band are compared with one class of their bucket, not with each other: after connected components,
-only buckets that still hold several components go on. Small ones are finished, the members of
-large ones meet again by their rarest shingles. Work is thus linear in a bucket of near copies.
+Documents with equal shingle sets form a class first, so copies cost one row each. The classes of a
+band bucket are compared with one class of it, the pivot, not with each other, and components
+are formed. Where a group still holds several components, its members are told apart by what
+differs from the pivot. For sets x, y and pivot p with Dx = x ^ p, Dy = y ^ p (symmetric differences),
+
+    similarity(x, y) >= 3/4   if and only if   14 |Dx & Dy| >= (7 |Dx| - |x|) + (7 |Dy| - |y|),
+
+so a pair that may be linked shares one of the first elements of Dx and Dy in any common order, and
+what the whole group shares is in no difference. Members that share such an element are a new,
+smaller group with a pivot of its own. No pair is lost, and a group of near copies costs linear work.
 """
 
 from __future__ import annotations
@@ -25,12 +31,16 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Signature values compared at a time, and the chance of dropping a pair at the threshold in one step.
 STEP, MISS = 32, 1e-7
-#: Members outside the main component up to which a bucket is finished at once.
-SMALL = 32
-#: Frequent shingles that the order of rare_prefixes knows of.
+#: similarity >= NUM / DEN of sets x, y is GAP * |x ^ y| <= |x| + |y|.
+GAP = (DEN + NUM) // (DEN - NUM)
+#: Parts into which the rows of one key go, in joins and beside a pivot.
+SALTS, PIVOT_PARTS = 8, 64
+#: Frequent shingles that the order of difference elements knows of; it changes the work, not the links.
 COMMON = 20_000
-#: Parts of a class's rows in the last join, so that copies of one text are spread over tasks.
-SALTS = 16
+#: Bins of difference sizes for a factor e.
+BINS = 5
+#: Pivots of a set of members with a common element of their differences.
+PIVOTS = 24
 _R = np.random.default_rng(20240229)
 _A = _R.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _R.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
@@ -91,50 +101,82 @@ def prepare(docs: DataFrame, digests: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig binary" + ", digest binary" * digests)
 
 
+def salted(rows: DataFrame, few: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with ``few`` (one row a key) where a key may hold very many of ``rows``.
+
+    Rows of one key are spread over SALTS parts by ``by``; ``few`` is repeated for each part.
+    """
+    parts = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(parts, [on, "__salt"], how).drop("__salt")
+
+
+def beside_pivots(pairs: DataFrame, data: DataFrame, payload: str, keep: list[str]) -> DataFrame:
+    """Rows (p, x, payload, *keep): each pivot's own row (x null) and behind it those of its members.
+
+    A pivot's members are spread over PIVOT_PARTS parts, and each part that has some gets a row of the pivot.
+    """
+    rows = pairs.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(PIVOT_PARTS)).cast("int"))
+    own = rows.join(data.select(F.col("cls").alias("x"), payload), "x").select("p", "part", "x", payload, *keep)
+    head = rows.select("p", "part").distinct().join(data.select(F.col("cls").alias("p"), payload), "p")
+    head = head.select("p", "part", F.lit(None).cast("binary").alias("x"), payload, *(F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in keep))
+    both = own.unionByName(head).repartition("p", "part").sortWithinPartitions("p", "part", F.col("x").asc_nulls_first())
+    return both.select("p", "x", payload, *keep)
+
+
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that survive the sequential comparison of their signatures."""
-    sigs = classes.select("cls", "sig")
-    both = pairs.join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a")
+    """Pairs (p, x) that survive the sequential comparison of their signatures."""
 
     def run(batches):
+        pivot = np.zeros(HASHES, "<u2")
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, HASHES) for i in (2, 3))
-            live, matches, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+            head = np.array(batch.column(1).is_null())
+            sigs = np.vstack([pivot[None], np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, HASHES)])
+            of = np.maximum.accumulate(np.where(head, np.arange(1, len(head) + 1), 0))
+            live = np.flatnonzero(~head)
+            x, y = sigs[live + 1], sigs[of[live]]
+            pivot = sigs[of[-1]]
+            matches, done, at = np.zeros(len(live), np.int64), 0, np.arange(len(live))
             for n, least in least_matches():
-                matches = matches + (x[live, done:n] == y[live, done:n]).sum(1)
+                matches = matches + (x[at, done:n] == y[at, done:n]).sum(1)
                 keep = matches >= least
-                live, matches, done = live[keep], matches[keep], n
-            if len(live):
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(live)) for i in (0, 1)], names=["a", "b"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+                at, matches, done = at[keep], matches[keep], n
+            if len(at):
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(live[at])) for i in (0, 1)], names=["p", "x"])
+
+    return beside_pivots(pairs, classes, "sig", []).mapInArrow(run, "p binary, x binary")
+
+
+def _sets_beside_pivots(batches):
+    """(batch slice, sets, pivot sets) of rows from ``beside_pivots`` with texts; pivot rows are left out."""
+    pivot = np.zeros(0, np.uint64)
+    for batch in batches:
+        for at, blobs in by_bytes(batch.column(2).to_pylist()):
+            part, own, pivots, picked = batch.slice(at, len(blobs)), [], [], []
+            for i, (s, x) in enumerate(zip(shingle_sets(blobs, SHINGLE), part.column(1).to_pylist(), strict=True)):
+                if x is None:
+                    pivot = s
+                else:
+                    own.append(s)
+                    pivots.append(pivot)
+                    picked.append(i)
+            if picked:
+                yield part.take(pa.array(picked)), own, pivots
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have 100 * intersection >= 75 * union."""
-    t = texts.select("cls", "text")
-    both = pairs.join(t.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").join(t.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
+    """Pairs (p, x) whose full shingle sets have 100 * intersection >= 75 * union."""
 
     def run(batches):
-        last: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                a, b, ta, tb = (c.to_pylist() for c in batch.slice(i, 64).columns)
-                new = {k: v for k, v in zip(a + b, ta + tb, strict=True) if k not in last}
-                sets = dict(last)
-                for at, blobs in by_bytes(list(new.values())):
-                    sets.update(zip(list(new)[at : at + len(blobs)], shingle_sets(blobs, SHINGLE), strict=True))
-                ok = []
-                for p, q in zip(a, b, strict=True):
-                    both_n = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                    ok.append(DEN * both_n >= NUM * (len(sets[p]) + len(sets[q]) - both_n))
-                last = {k: sets[k] for k in a[-1:]}  # rows of one pivot often follow each other
-                yield pa.RecordBatch.from_pydict({"a": [p for p, k in zip(a, ok, strict=True) if k], "b": [q for q, k in zip(b, ok, strict=True) if k]}, schema=kind)
-
-    kind = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+        for part, own, pivots in _sets_beside_pivots(batches):
+            ok = []
+            for s, p in zip(own, pivots, strict=True):
+                both = len(np.intersect1d(s, p, assume_unique=True))
+                ok.append(DEN * both >= NUM * (len(s) + len(p) - both))
+            yield part.select([0, 1]).filter(pa.array(ok))
+
+    return beside_pivots(pairs, texts, "text", []).mapInArrow(run, "p binary, x binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -147,9 +189,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        small = salted(large, low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialize(small.distinct(), "stars")
         ends = edges.groupBy("u").agg(F.count("*").alias("n"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("low")).distinct())
         if ends.groupBy("u").agg(F.sum("n").alias("n"), F.max("low").alias("low")).where("n > 1 or (n = 1 and low = 1)").isEmpty():
@@ -158,22 +200,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def band_hashes():
-    """Structs (bucket, k) of a signature's bands."""
-    return F.array(*(F.struct(F.xxhash64(F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS), F.lit(k)).alias("bucket"), F.lit(k).alias("k")) for k in range(BANDS)))
-
+    """The bucket of each band of a signature."""
+    return F.array(*(F.xxhash64(F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS), F.lit(k)) for k in range(BANDS)))
 
-def rare_prefixes(texts: DataFrame) -> DataFrame:
-    """(cls, bucket): the rarest n - ceil(0.75 n) + 1 shingles of each text.
 
-    Two sets with similarity 0.75 share one of these, whatever order of shingles is used; with common
-    shingles last, a line or passage that many texts share makes no bucket. The counts are those
-    of at most COMMON shingles, gathered from each task's most frequent ones.
-    """
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """(hash, count) of at most COMMON shingles in the order of hashes, from each task's most frequent ones."""
 
-    def frequent(batches):
+    def run(batches):
         seen: dict[int, int] = {}
         for b in batches:
-            for _, blobs in by_bytes(b.column(1).to_pylist()):
+            for _, blobs in by_bytes(b.column(0).to_pylist()):
                 own, n = np.unique(np.concatenate(shingle_sets(blobs, SHINGLE)), return_counts=True)
                 for h, k in zip(own[n > 1].tolist(), n[n > 1].tolist(), strict=True):
                     seen[h] = seen.get(h, 0) + k
@@ -182,74 +219,128 @@ def rare_prefixes(texts: DataFrame) -> DataFrame:
         top = sorted(seen.items(), key=lambda e: (-e[1], e[0]))[:COMMON]
         yield pa.RecordBatch.from_pydict({"h": [h - (1 << 63) for h, _ in top], "n": [n for _, n in top]}, schema=pa.schema([("h", pa.int64()), ("n", pa.int64())]))
 
-    texts = texts.select("cls", "text")
-    counts = texts.mapInArrow(frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    common = np.array(sorted((r["h"] + (1 << 63), r["n"]) for r in counts), np.uint64).reshape(-1, 2)
-    shared = texts.sparkSession.sparkContext.broadcast(common)  # at most COMMON rows
+    counts = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    return np.array(sorted((r["h"] + (1 << 63), r["n"]) for r in counts), np.uint64).reshape(-1, 2)
+
+
+def differences(members: DataFrame, texts: DataFrame, common) -> DataFrame:
+    """(gid, x, label, deg, d, e, near, first) of each member (gid, p, x, label, deg).
+
+    d is the size of x's difference from the pivot, e is GAP * d - |x|, near says that x and the
+    pivot are linked, first holds the elements of the difference that a linked pair may have to
+    share: those that the pivot lacks, rare ones first (``common`` is the broadcast of
+    ``frequent_shingles``), before those that x lacks.
+    """
+    names = ["gid", "x", "label", "deg", "d", "e", "near", "first"]
+    kind = pa.schema([("gid", pa.binary()), ("x", pa.binary()), ("label", pa.binary()), ("deg", pa.int64()), ("d", pa.int64()), ("e", pa.int64()), ("near", pa.bool_()), ("first", pa.binary())])
 
     def run(batches):
-        hashes, n = shared.value[:, 0], shared.value[:, 1]
-        for b in batches:
-            for at, blobs in by_bytes(b.column(1).to_pylist()):
-                cls, out = b.column(0).slice(at, len(blobs)).to_pylist(), []
-                for s in shingle_sets(blobs, SHINGLE):
-                    count = np.zeros(len(s), np.uint64)
-                    if len(hashes):
-                        near = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-                        count = np.where(hashes[near] == s, n[near], 0)
-                    size = len(s) + (-len(s) * NUM // DEN) + 1
-                    out.append(s[np.lexsort((s, count))[:size]].view(np.int64))
-                yield pa.RecordBatch.from_pydict({"cls": [c for c, x in zip(cls, out, strict=True) for _ in x], "bucket": np.concatenate(out)}, schema=pa.schema([("cls", pa.binary()), ("bucket", pa.int64())]))
+        hashes, counts = common.value[:, 0], common.value[:, 1]
+        for part, own, pivots in _sets_beside_pivots(batches):
+            d, e, near, first = [], [], [], []
+            for s, p in zip(own, pivots, strict=True):
+                more, less = np.setdiff1d(s, p, assume_unique=True), np.setdiff1d(p, s, assume_unique=True)
+                size = len(more) + len(less)
+                excess = GAP * size - len(s)
+                linked = excess <= len(p)
+                # a member that is linked with the pivot is only compared with those that are not; others with sets of up to 4/3 of their size
+                least = excess + len(p) + 1 if linked else excess - 4 * len(s) // 3
+                prefix = max(0, size - max(1, -(-least // (2 * GAP))) + 1)
+                if len(hashes) and prefix:
+                    at = np.minimum(np.searchsorted(hashes, more), len(hashes) - 1)
+                    more = more[np.argsort(np.where(hashes[at] == more, counts[at], np.uint64(0)), kind="stable")]
+                d.append(size)
+                e.append(excess)
+                near.append(linked)
+                first.append(np.concatenate([more, less])[:prefix].tobytes())
+            cols = [part.column(3), part.column(1), part.column(4), part.column(5), pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(near), pa.array(first, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, schema=kind)
+
+    rows = beside_pivots(members, texts, "text", ["gid", "label", "deg"])
+    return rows.mapInArrow(run, "gid binary, x binary, label binary, deg long, d long, e long, near boolean, first binary").select(*names)
+
+
+def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFrame, DataFrame]:
+    """Pairs (p, x) to compare and groups (gid, p, x) still open after them, of groups (gid, p, x, label, deg).
+
+    Members are put in bins by the size of their differences. For each bin on the other side it follows from
+    the least ``e`` there how many elements a pair must share, so how many of the first ones have to
+    be looked at; most bins are out of reach or hold the member's own label only. Members that look
+    at each other's bins with an element in common meet. Of those that meet, PIVOTS are compared
+    with all; the others form a group, one for all that have a first pivot in common.
+    """
+    diffs = materialize(differences(members, texts, common).withColumn("bin", 2 * F.floor(F.log("d") * BINS).cast("int") + F.col("near").cast("int")), "differences")
+    sides = diffs.groupBy("gid", "bin").agg(F.min("e").alias("e"), F.max("d").alias("d"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    sides = sides.groupBy("gid").agg(F.collect_list(F.struct("bin", "e", "d", "l0", "l1")).alias("sides"))  # bins grow with the logarithm of d
+
+    def way(side):
+        need = F.greatest(F.lit(1), F.ceil((F.col("e") + side["e"]) / (2 * GAP)))
+        return F.struct(F.least("bin", side["bin"]).alias("i"), F.greatest("bin", side["bin"]).alias("j"), F.when((need <= F.least("d", side["d"])) & ((F.col("label") != side["l0"]) | (F.col("label") != side["l1"])), F.col("d") - need + 1).alias("n"))
 
-    return materialize(texts.mapInArrow(run, "cls binary, bucket long"), "prefixes")
+    asked = salted(diffs, sides, "gid", "x").select("gid", "x", "label", "deg", F.explode(F.filter(F.transform("sides", way), lambda w: w["n"].isNotNull())).alias("w"), "first")
+    asked = asked.select("gid", "x", "label", "deg", F.xxhash64("gid", "w.i", "w.j").alias("spot"), "w.n", "first")
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                first = [np.frombuffer(f, np.int64)[:n] for f, n in zip(part.column(6).to_pylist(), part.column(5).to_pylist(), strict=True)]
+                row = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(5)), pa.array(np.concatenate(first))], names=["gid", "x", "label", "deg", "spot", "h"])
+
+    met = asked.mapInArrow(run, "gid binary, x binary, label binary, deg long, spot long, h long")
+    met = materialize(met.withColumn("spot", F.xxhash64("spot", "h")).drop("h"), "elements")
+    spots = met.groupBy("spot").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 <> l1").select("spot", "n")
+    met = materialize(salted(met, spots, "spot", "x"), "meetings")
+    nth = F.row_number().over(Window.partitionBy("spot").orderBy(F.desc("deg"), F.desc("p")))
+    top = materialize(met.select("spot", "deg", "n", F.col("x").alias("p"), F.col("label").alias("pl")).withColumn("nth", nth).where(F.col("nth") <= PIVOTS), "pivots")
+    pairs = met.join(top.select("spot", "p", "pl"), "spot").where(F.col("label") != F.col("pl")).select("p", "x").distinct()
+    others = met.where(F.col("n") > PIVOTS + 1).join(top.select("spot", F.col("p").alias("x")), ["spot", "x"], "left_anti")
+    groups = salted(others, top.where("nth = 1").select("spot", "p"), "spot", "x").select(F.unhex(F.md5(F.concat("gid", "p"))).alias("gid"), "p", "x")
+    return pairs, materialize(groups.distinct(), "groups")
 
 
 def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
     """(cls, label) of the classes that are linked with others.
 
-    Every bucket's members are compared with its most connected class and components are formed. A bucket
-    that still holds several components is finished if SMALL members at most are outside its main
-    one: they are compared with all others. If there are more, its members are put in new buckets by
-    their rarest shingles, which loses no pair at the threshold; those go on in the same way and are
-    finished whatever their size.
+    Groups start as the band buckets, those with one pivot together, and their members are compared with
+    the pivot. In each round components are formed anew, and groups whose members still have several
+    labels are told apart by ``smaller_groups``. A group never holds the pivots it came from.
     """
     picked = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(picked, "classes")
-    bands = classes.select("cls", F.explode(band_hashes()).alias("b")).select("cls", "b.*")
-    shared = bands.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = materialize(bands.join(shared, "bucket"), "band-members")
+    bands = classes.select("cls", F.explode(band_hashes()).alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(salted(bands, shared, "bucket", "cls"), "band-members")
+    # the class with the most neighbours is near the middle of its group: a better pivot than any other
+    degrees = materialize(members.groupBy("cls").agg(F.sum("n").alias("deg")), "degrees")
     # texts of the classes that have candidates; a doc_id may come with several texts, so cls is checked
-    wanted = members.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
+    wanted = degrees.join(classes.select("cls", "rep"), "cls").select("cls", "rep")
     texts = _texts(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text"))
     texts = materialize(texts.dropDuplicates(["cls"]), "candidate-texts", 2000)
-    # the class with the most neighbours is near the middle of its group: a better pivot than any other
-    degrees = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").groupBy("cls").agg(F.sum("n").alias("deg"))
-    members = materialize(members.join(degrees, "cls"), "band-members")
-    first = members.groupBy("bucket").agg(F.max(F.struct("deg", "cls"))["cls"].alias("p"))
-    tested = materialize(members.join(first, "bucket").where("cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct(), "pairs")
-    links = materialize(confirm(plausible(tested, classes), texts), "confirmed", 1000)
-    labels = components(links)
+    pivots = members.join(degrees, "cls").groupBy("bucket").agg(F.max(F.struct("deg", "cls"))["cls"].alias("p"))
+    groups = salted(members, pivots, "bucket", "cls").where("cls <> p").select(F.col("p").alias("gid"), "p", F.col("cls").alias("x")).distinct()
+    groups, tested, labels, common = materialize(groups, "groups"), None, None, None
+    pairs = groups.select("p", "x")
     while True:
-        named = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        groups = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("k").alias("k"))
-        mixed = groups.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0").select("bucket", "main.label", "rest").withColumnRenamed("label", "main")
-        mixed = materialize(named.join(mixed, "bucket"), "mixed")
-        if mixed.isEmpty():
+        if tested is not None:  # compared before, in either direction
+            pairs = pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct()
+            pairs = pairs.join(tested, ["p", "x"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        links = materialize(confirm(plausible(pairs, classes), texts), "confirmed", 1000).select(F.col("p").alias("a"), F.col("x").alias("b"))
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")))
+        labels = components(links)
+        pairs = pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        named = groups.join(labels.withColumnRenamed("cls", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
+        mixed = named.groupBy("gid").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("gid")
+        left = materialize(salted(named, mixed, "gid", "x").join(degrees.select(F.col("cls").alias("x"), "deg"), "x"), "mixed")
+        if left.isEmpty():
             return labels
-        whole = (F.col("rest") <= SMALL) | (F.col("k") >= BANDS)
-        left = mixed.where(whole & (F.col("label") != F.col("main"))).select("bucket", F.col("cls").alias("p"), F.col("label").alias("pl"))
-        new = mixed.where(whole).select("bucket", "cls", "label").join(left, "bucket").where("label <> pl").select("cls", "p")
-        big = mixed.where(~whole).select("cls", "deg", "label").distinct()
-        split = rare_prefixes(texts.join(big.select("cls"), "cls", "left_semi")).join(big, "cls").withColumn("k", F.lit(BANDS))
-        parts = split.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct("deg", "cls", "label")).alias("mid")).where("l0 <> l1").select("bucket", "mid")
-        members = materialize(split.join(parts, "bucket").select("bucket", "cls", "k", "deg", "label", "mid"), "band-members")
-        star = members.where("label <> mid.label").select("cls", F.col("mid.cls").alias("p"))
-        new = new.unionByName(star).select(F.least("p", "cls").alias("a"), F.greatest("p", "cls").alias("b")).distinct()
-        new = materialize(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(confirm(plausible(new, classes), texts), "confirmed", 1000)
-        members, tested = members.drop("label", "mid"), tested.unionByName(new)
-        if not found.isEmpty():
-            labels = components(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")).unionByName(found))
+        if common is None:
+            common = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts))  # at most COMMON rows
+        pairs, groups = smaller_groups(left, texts, common)
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -272,7 +363,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null, empty and word-less texts have no shingles and form components of their own. Rows that
     repeat a doc_id keep their rows; equal texts are linked whatever their ids. kept is true where
     doc_id is the component's smallest (of rows repeating that doc_id, all are kept); a null
-    doc_id counts only where a component has no other. An empty table gives an empty table.
+    doc_id counts only where a component has no other. Other columns of ``docs`` play no part. Texts
+    of any length are hashed whole, one at a time. An empty table gives an empty table.
     """
     base = materialize(prepare(docs), "near-base")
     labels = link_classes(base, docs)
@@ -294,7 +386,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Kept is the row of the component's smallest doc_id (a null one is the largest), of rows that
     repeat that one the text of the smallest digest. Rows without shingles are components of their
-    own; those that repeat both doc_id and text are reduced to one.
+    own; those that repeat both doc_id and text are reduced to one. Columns may have any names. An
+    empty table gives an empty table.
     """
     base = materialize(prepare(docs, digests=True), "near-base")
     labels = link_classes(base, docs)
@@ -302,13 +395,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     first = own.join(labels, "cls", "left").groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("row").alias("row"))
     keys = first.select("row.doc_id", "row.digest").unionByName(base.where("cls is null").select("doc_id", "digest"))
     # a null doc_id gets a key of its own by the flag, so that the join is one of plain equality
-    key = [F.isnull("doc_id").alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__key")]
-    kept = keys.select(*key, F.col("digest").alias("__digest"))
-    rows = docs.select("*", *key, F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("__digest"))
-    rows = rows.join(kept, ["__none", "__key", "__digest"], "left_semi")
+    key = [F.isnull("doc_id").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("key")]
+    kept = keys.select(*key, "digest")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key, F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("digest"))
+    rows = rows.join(kept, ["none", "key", "digest"], "left_semi")
     # the window has the join's partitioning: texts are shuffled once
-    same = Window.partitionBy("__none", "__key", "__digest").orderBy("__key")
-    return rows.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").select(*(f"`{c}`" for c in docs.columns))
+    same = Window.partitionBy("none", "key", "digest").orderBy("key")
+    return rows.withColumn("nth", F.row_number().over(same)).where("nth = 1").select("row.*")
 
 
 def op2_minhash_neardup(spark, sf_dir: str) -> DataFrame:
