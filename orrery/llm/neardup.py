@@ -290,13 +290,19 @@ def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFr
 
     met = asked.mapInArrow(run, "gid binary, x binary, label binary, deg long, spot long, h long")
     met = materialize(met.withColumn("spot", F.xxhash64("spot", "h")).drop("h"), "elements")
-    spots = met.groupBy("spot").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 <> l1").select("spot", "n")
+    spots = met.groupBy("spot").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("s"), F.bit_xor(F.xxhash64("label", "x")).alias("t")).where("l0 <> l1")
+    spots = spots.groupBy("n", "s", "t").agg(F.min("spot").alias("spot")).select("spot", "n")  # the same members meet once
     met = materialize(salted(met, spots, "spot", "x"), "meetings")
-    nth = F.row_number().over(Window.partitionBy("spot").orderBy(F.desc("deg"), F.desc("p")))
-    top = materialize(met.select("spot", "deg", "n", F.col("x").alias("p"), F.col("label").alias("pl")).withColumn("nth", nth).where(F.col("nth") <= PIVOTS), "pivots")
-    pairs = met.join(top.select("spot", "p", "pl"), "spot").where(F.col("label") != F.col("pl")).select("p", "x").distinct()
-    others = met.where(F.col("n") > PIVOTS + 1).join(top.select("spot", F.col("p").alias("x")), ["spot", "x"], "left_anti")
-    groups = salted(others, top.where("nth = 1").select("spot", "p"), "spot", "x").select(F.unhex(F.md5(F.concat("gid", "p"))).alias("gid"), "p", "x")
+    nth = F.row_number().over(Window.partitionBy("spot").orderBy(F.desc("deg"), F.desc("x")))
+    top = met.select("spot", "deg", "x", "label").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
+    top = materialize(top.groupBy("spot").agg(F.reverse(F.array_sort(F.collect_list(F.struct("deg", "x", "label")))).alias("pivots")), "pivots")
+    # a member gets the pivots of all its meetings together, so that a pair comes up once
+    seen = salted(met, top, "spot", "x").select("spot", "gid", "n", "x", "deg", "label", "pivots")
+    own = seen.groupBy("x", "deg", "label").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
+    own = own.select("x", F.explode(F.filter("pivots", lambda p: (p["label"] != F.col("label")) & ((p["deg"] > F.col("deg")) | (p["deg"] == F.col("deg")) & (p["x"] > F.col("x"))))).alias("p"))
+    pairs = own.select("p.x", F.col("x").alias("o")).select(F.col("x").alias("p"), F.col("o").alias("x"))
+    others = seen.where((F.col("n") > PIVOTS + 1) & ~F.exists("pivots", lambda p: p["x"] == F.col("x")))
+    groups = others.withColumn("p", F.col("pivots")[0]["x"]).select(F.unhex(F.md5(F.concat("gid", "p"))).alias("gid"), "p", "x")
     return pairs, materialize(groups.distinct(), "groups")
 
 
@@ -328,9 +334,10 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
             pairs = pairs.join(tested, ["p", "x"], "left_anti")
         pairs = materialize(pairs, "pairs")
         links = materialize(confirm(plausible(pairs, classes), texts), "confirmed", 1000).select(F.col("p").alias("a"), F.col("x").alias("b"))
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("cls").alias("a"), F.col("label").alias("b")))
-        labels = components(links)
+        if labels is None:
+            labels = components(links)
+        elif not links.isEmpty():
+            labels = components(links.unionByName(labels.select(F.col("cls").alias("a"), F.col("label").alias("b"))))
         pairs = pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         named = groups.join(labels.withColumnRenamed("cls", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
