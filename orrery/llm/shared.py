@@ -36,7 +36,16 @@ def materialize(df: DataFrame, label: str, batch_rows: int | None = None, option
         df.write.options(**options or {}).parquet(path)
     finally:
         spark.conf.set(name, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def forget(spark: SparkSession, tables: list[DataFrame]) -> None:
+    """Delete tables that ``materialize`` wrote and that no later result reads."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str):
