@@ -13,7 +13,7 @@ from orrery.llm.neardup import drop_near_duplicates
 from orrery.llm.packing import pack_documents
 from orrery.llm.quality import filter_quality
 from orrery.llm.shared import materialize
-from orrery.llm.suffixdedup import remove_substrings
+from orrery.llm.suffixdedup import remove_passages
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that occur elsewhere too."""
-    return remove_substrings(docs)
+    """Texts without the passages of 50 words and more that occur elsewhere too."""
+    return remove_passages(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
