@@ -14,7 +14,7 @@ _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Special tokens and characters that the libraries class differently: such texts go through whole.
 _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Words a memo may hold before it is cut back to those met in more than one batch.
-MEMO = 800_000
+MEMO = 500_000
 
 
 def _byte_letters() -> dict[int, int]:
