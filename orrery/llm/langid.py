@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import arrow_map
@@ -19,8 +19,9 @@ FAMILIES = {
     "uralic": "fi et hu".split(),
 }
 DIMS = 1 << 13
-#: Bounds of the training sample: documents of each language, and characters of a sampled document.
-PER_LANG, MOST_CHARS, LANGS = 400, 50_000, 500
+#: Bounds of the training sample: documents of each language, of all languages together (the share of
+#: each shrinks, none is left out), and characters of a sampled document.
+PER_LANG, MOST_DOCS, MOST_CHARS = 400, 8_000, 50_000
 
 
 def family(lang: str) -> str:
@@ -120,23 +121,31 @@ class Model:
 
 
 def train(docs: DataFrame, seed: int = 7) -> Model:
-    """Learn from a bounded sample: about PER_LANG documents of each language, chosen by hash of doc_id.
+    """Learn from a bounded sample: the first documents of each language by hash of doc_id.
 
-    The share of a language that is read follows from its count; rows with a null text or lang,
-    without letters or over MOST_CHARS characters are not sampled. Two passes: counts, then texts.
+    PER_LANG of them, fewer if there are over MOST_DOCS / PER_LANG languages. A first cut by the hash, at
+    twice the share that a language's count asks for, keeps the ranking small. Rows with a null text or
+    lang, without letters or over MOST_CHARS characters are not learned from. Ties go by doc_id and
+    text, repeated rows count as often as they occur; an empty table gives a model that says ``und``.
     """
     usable = docs.where("lang is not null and text is not null").where(F.length("text") <= MOST_CHARS).withColumn("__u", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)))
-    counts = sorted((r[0], r[1]) for r in docs.where("lang is not null and text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
+    counts = sorted((r[0], r[1]) for r in docs.where("lang is not null and text is not null").where(F.length("text") <= MOST_CHARS).groupBy("lang").count().collect())
     if not counts:
         return Model([])
-    share = F.create_map(*(v for lang, n in counts for v in (F.lit(lang), F.lit(max(1, int((1 << 20) * min(1.0, PER_LANG / n)))))))
+    each = max(1, min(PER_LANG, MOST_DOCS // len(counts)))
+    share = F.create_map(*(v for lang, n in counts for v in (F.lit(lang), F.lit(int((1 << 20) * min(1.0, (2 * each + 50) / n)) + 1))))
     picked = usable.where(F.col("__u") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0))).select("text", "lang", "__u", "doc_id")
-    rows = picked.limit(4 * PER_LANG * len(counts)).collect()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("__u", "doc_id", "text"))
+    rows = picked.withColumn("__nth", nth).where(F.col("__nth") <= each).collect()
     return Model([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["__u"], r["doc_id"] or 0, r["text"])) if any(map(str.isalpha, r["text"]))])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of ``docs``; the model is broadcast (bounded by LANGS and DIMS)."""
+    """(doc_id, lang_pred, score) of every row of ``docs``; the model is broadcast (pairs of languages in a family times DIMS).
+
+    Null texts and those without letters are ``und`` with score 0; texts of any length are read whole,
+    rows that are repeated get equal answers, an empty table gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(part):

@@ -45,6 +45,7 @@ def _queue(docs: DataFrame, seed: str, carry: list[str]) -> DataFrame:
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("k"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         key.alias("key"),
+        F.xxhash64("text").alias("t"),
         F.col("doc_id").alias("id"),
     ).withColumn("b", (F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") % BUCKETS).cast("int"))
     # the order within a source is (bucket, key): any fixed order that ignores the content is a shuffle
@@ -52,7 +53,7 @@ def _queue(docs: DataFrame, seed: str, carry: list[str]) -> DataFrame:
     part = base.groupBy("z", "k", "b").agg(F.sum("size").alias("s"))
     part = part.withColumn("before", F.coalesce(F.sum("s").over(Window.partitionBy("z", "k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     part = part.join(targets(part.groupBy("z", "k").agg(F.sum("s").alias("source_size"))), ["z", "k"])
-    own = Window.partitionBy("z", "k", "b").orderBy("key", "id", "size")
+    own = Window.partitionBy("z", "k", "b").orderBy("key", "id", "size", "t")
     queue = base.withColumns({"cum": F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)), "rn": F.row_number().over(own)})
     queue = queue.join(part.drop("s"), ["z", "k", "b"])
     served = (F.col("before") + F.col("cum")).cast("double")

@@ -96,21 +96,30 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             _let(F.transform(w, lambda x: F.xxhash64(x)), _repeat_words).alias("n_repeat_words"),
         ),
     )
+    at = _unused(docs, "word"), _unused(docs, "line")
     out = docs.withColumns({
-        "__word": word,
-        "__line": line,
+        at[0]: word,
+        at[1]: line,
         "word_chars": F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("bigint"),
         "n_symbols": F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("bigint"),
     })
-    names = {"n_words": "__word", "n_stop_words": "__word", "n_repeat_words": "__word", "n_lines": "__line", "n_dup_lines": "__line"}
-    return out.withColumns({k: F.col(v)[k] for k, v in names.items()}).drop("__word", "__line")
+    names = {"n_words": at[0], "n_stop_words": at[0], "n_repeat_words": at[0], "n_lines": at[1], "n_dup_lines": at[1]}
+    return out.withColumns({k: F.col(f"`{v}`")[k] for k, v in names.items()}).drop(*at)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with counts, ``base_failed`` and ``kept``, compiled from ``rules`` into one projection.
 
     Empty or null texts fail the base rule (under 20 words). Repeated rows are judged alike and all
-    stay. An empty table gives an empty table.
+    stay. Texts of any length are judged whole. Columns of ``docs`` that have the name of a count or
+    verdict are replaced by it, all others stay. An empty table gives an empty table.
     """
     out = measure(docs, text)
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)

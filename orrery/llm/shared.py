@@ -13,9 +13,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own in local mode where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -66,7 +66,8 @@ def train(docs: DataFrame, labels: DataFrame, epochs: int = 5, seed: int = 11):
     """Fit on a bounded sample of labelled rows: the first POSITIVE and NEGATIVE by hash of doc_id.
 
     A doc_id labelled twice counts as toxic if any label says so; null labels and documents over
-    MOST_CHARS characters are left out. Without labels the model is empty and scores 0.5.
+    MOST_CHARS characters are left out; of texts that share a doc_id the first is learned from. Without
+    labels or documents the model is empty and scores 0.5. Other columns play no part.
     """
     model = Ftrl()
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).withColumn("__h", F.xxhash64("doc_id", F.lit(seed)))
@@ -76,6 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, epochs: int = 5, seed: int = 11):
         picked = part if picked is None else picked.unionByName(part)
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["__toxic"], r["__h"]) for r in picked.collect()], "doc_id long, __toxic int, __h long")
     found = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= MOST_CHARS).join(F.broadcast(ids), "doc_id")  # at most POSITIVE + NEGATIVE rows
+    found = found.groupBy("doc_id", "__toxic", "__h").agg(F.min("text").alias("text"))  # a doc_id counts once
     rows = sorted((r["__h"], r["text"] or "", r["__toxic"]) for r in found.collect())
     data = list(zip(text_features([t for _, t, _ in rows]), [y for _, _, y in rows], strict=True))
     del rows

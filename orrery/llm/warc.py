@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,16 +29,25 @@ def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _record_id(page: int | None, digest: str, kind: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}:{kind}')}>"
+
+
+def _safe(url: str) -> str:
+    """White space and control characters of a URL percent-encoded: a header is one line."""
+    return re.sub(r"[\x00-\x20\x7f-\xa0]", lambda m: quote(m[0]), url)
+
+
 def _record(page: int, url: str, kind: str, digest: str, size: int, payload: bytes, first: int | None) -> bytes:
     """One record: a response holds HTTP headers and payload, a revisit the HTTP headers only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}:{kind}')}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page, digest, kind)}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {_safe(url)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{first}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(first, digest, 'response')}", f"WARC-Refers-To-Page-ID: {first}"]
     head += [f"WARC-Page-ID: {'' if page is None else page}", f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
@@ -73,10 +84,12 @@ def roles(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write a record per row to WARC files in ``folder``; returns the index, written as a table first.
 
-    Index: (file, offset, length, url, digest, page_id). A task writes under a name of its own
-    attempt and renames it at the end. Of equal payloads the smallest page_id is the response (all
-    rows of that page_id are), others revisit it. Null urls are empty; a null page_id is a
-    response; an empty table gives no file.
+    Index: (file, offset, length, url, digest, page_id). A file has the name of the attempt that wrote it
+    and the index holds rows of committed attempts only, so file and index always agree. Of
+    equal payloads the smallest page_id is the response (all rows of that page_id are), others
+    revisit it. Null urls are empty; a null page_id is a response; an empty table gives no file. Headers hold URLs with white space and control characters
+    percent-encoded (the index keeps them as they are); pages of any length are one record. Other
+    columns play no part.
     """
     files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
@@ -86,8 +99,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         from pyspark import TaskContext
 
         store, base = filesystem(folder)
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
-        part, at, out = f"{base}/{name}.{uuid.uuid4().hex}.tmp", 0, None
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+        at, out = 0, None
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 rows: dict[str, list] = {n: [] for n in kind.names}
@@ -97,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     role = "response" if r["__first"] is None else "revisit"
                     press = zlib.compressobj(2, zlib.DEFLATED, 31)
                     member = press.compress(_record(r["page_id"], r["url"] or "", role, digest, len(data), data, r["__first"])) + press.flush()
-                    out = out or store.open_output_stream(part)
+                    out = out or store.open_output_stream(f"{base}/{name}", compression=None)
                     out.write(member)
                     for k, v in (("file", name), ("offset", at), ("length", len(member)), ("url", r["url"]), ("digest", digest), ("page_id", r["page_id"])):
                         rows[k].append(v)
@@ -105,7 +118,6 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(rows, schema=kind)
         if out:
             out.close()
-            store.move(part, f"{base}/{name}")
 
     index = roles(pages).mapInArrow(write, "file string, offset long, length long, url string, digest string, page_id long")
     return materialize(index, "warc-index")
@@ -142,8 +154,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                     size = int(fields["http-content-length"])
                     if not revisit and (len(payload) != size or _digest(payload) != digest):
                         raise ValueError(f"{file[i]} at {offset[i]}: the payload does not match its digest")
-                    refers = fields.get("warc-refers-to", "")
-                    for k, v in zip(names, (int(fields["warc-page-id"]) if fields["warc-page-id"] else None, fields["warc-target-uri"], fields["warc-type"], int(refers[10:-1]) if revisit else None, size, digest, None if revisit else payload), strict=True):
+                    for k, v in zip(names, (int(fields["warc-page-id"]) if fields["warc-page-id"] else None, fields["warc-target-uri"], fields["warc-type"], int(fields["warc-refers-to-page-id"]) if revisit else None, size, digest, None if revisit else payload), strict=True):
                         rows[k].append(v)
                 yield pa.RecordBatch.from_pydict(rows, schema=kind)
                 at = end

@@ -122,6 +122,12 @@ def test_token_files(spark, tmp_path):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    for i in (1, 11, 12, 99):
+        own = sorted(plain.encode(t or "", add_special_tokens=False).ids + [2] for d, t, *_ in odd_rows() if d == i)
+        assert sorted(x.tolist() for x in token_files.read_document(str(tmp_path / "a"), manifest, i)) == own
+    least = spark.createDataFrame([(-1 << 63, "a"), (None, "b"), (0, None)], "doc_id bigint, text string")
+    m = token_files.write_files(least, BYTES, str(tmp_path / "c"))
+    assert {r.doc_id for r in token_files.read_files(spark, str(tmp_path / "c"), m).collect()} == {-1 << 63, None, 0}
     none = token_files.write_files(empty_docs(spark), BYTES, str(tmp_path / "b"))
     assert token_files.read_files(spark, str(tmp_path / "b"), none).count() == 0
     (tmp_path / "a" / "dictionary").write_bytes(b"other")
@@ -142,6 +148,14 @@ def test_archives(spark, tmp_path):
     some = warc.read_archives(index.where("page_id in (1, 4)"), str(tmp_path / "w")).collect()
     assert sorted(r.page_id for r in some) == [1, 4]
     assert warc.write_archives(pages.limit(0), str(tmp_path / "e")).count() == 0
+    odd = spark.createDataFrame([(1, "http://a/\r\n\r\nWARC-Type: x", "p"), (2, "http://b/\nc d", "p")], "page_id bigint, url string, html string")
+    index = warc.write_archives(odd, str(tmp_path / "o"))
+    back = {r.page_id: r for r in warc.read_archives(index, str(tmp_path / "o")).collect()}
+    assert back[1].url == "http://a/%0D%0A%0D%0AWARC-Type:%20x" and (back[2].record_type, back[2].refers_to) == ("revisit", 1)
+    # a task that ran twice leaves a file that the index does not name
+    again = warc.write_archives(odd, str(tmp_path / "o"))
+    assert not {r.file for r in again.collect()} & {r.file for r in index.collect()}
+    assert warc.read_archives(index, str(tmp_path / "o")).count() == 2
 
 
 def test_media(spark):

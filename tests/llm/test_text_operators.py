@@ -88,8 +88,8 @@ def test_near_duplicates(spark):
     assert got == sorted(brute_components(rows), key=str)
 
 
-def test_large_buckets_are_split(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 2)
+def test_groups_are_told_apart_with_one_pivot(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
     rows = near_rows()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect())
@@ -148,6 +148,53 @@ def test_substrings(spark, monkeypatch, block):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_cover_ranks():
+    v, cover = suffixdedup.V, suffixdedup.COVER
+    assert {(a - b) % v for a in cover for b in cover} == set(range(v))
+    rng = np.random.default_rng(3)
+    for depth in (224, 384, 48):
+        spans = [bytes(rng.integers(97, 99, 500, np.uint8)), b"ab" * 400, b"a" * 300, bytes(rng.integers(0, 256, 200, np.uint8))]
+        data = b"".join(spans)
+        _, word = suffixdedup._words(spans, depth + v)
+        ranks = suffixdedup.CoverRanks(word, depth)
+        places = np.array([p for p in range(len(data) - depth) if p % v in cover])
+        rank = ranks.at(places)
+        order = sorted(range(len(places)), key=lambda i: data[places[i] : places[i] + depth])
+        for i, j in zip(order, order[1:]):
+            a, b = (data[places[k] : places[k] + depth] for k in (i, j))
+            assert (rank[i] == rank[j]) == (a == b) and rank[i] <= rank[j]
+        assert (ranks.at(np.arange(3, 5)) == -1).all()
+
+
+def test_long_texts_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(suffixdedup, "PIECE", 700)
+    text, length = words(900, 5).encode(), 240
+    starts: list[int] = []
+    for rows, offsets, blobs in suffixdedup._chunks([b"", text, None], length):
+        for r, at, blob in zip(rows, offsets, blobs, strict=True):
+            assert blob == ((b"", text, b"")[r])[at : at + len(blob)]
+            starts += [at + k for k in range(len(blob) - length + 1)]
+    assert starts == list(range(len(text) - length + 1))
+
+
+def test_passages_of_fifty_words_go(spark):
+    shared, short = "Repeated " + " ".join(f"wd{k:02d}" for k in range(52)), " ".join(f"longerword{k:02d}" for k in range(30))
+    rows = [(k, words(40, 900 + k) + "\n" + shared + "\n" + words(40, 950 + k) + " " + short) for k in range(3)] + [(9, words(200, 999)), (10, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r.text for r in suffixdedup.remove_passages(docs).collect()}
+    assert all(shared not in out[k] and short in out[k] for k in range(3)) and out[9] == rows[3][1] and out[10] is None
+    report = {r.doc_id: r for r in suffixdedup.substring_report(docs).collect()}
+    assert [report[k].n_passages for k in (0, 1, 2, 9, 10)] == [1, 1, 1, 0, 0]
+    assert suffixdedup.remove_passages(empty_docs(spark)).count() == 0
+
+
+def test_names_of_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, words(30, 1), 1, 2, 3, 4, 5, 6)], "doc_id bigint, text string, word int, line int, __word int, key int, digest int, cls int")
+    out = quality.apply_rules(docs).first()
+    assert (out.word, out.line, out["__word"], out.n_words) == (1, 2, 3, 30)
+    assert neardup.drop_near_duplicates(docs).first() == docs.first() == suffixdedup.remove_passages(docs).first()
+
+
 def test_substrings_are_cut_from_rows(spark):
     docs = odd_docs(spark)
     out = suffixdedup.remove_substrings(docs)
