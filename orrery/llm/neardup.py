@@ -40,7 +40,7 @@ COMMON = 20_000
 #: Bins of difference sizes for a factor e.
 BINS = 5
 #: Pivots of a set of members with a common element of their differences.
-PIVOTS = 24
+PIVOTS = 64
 _R = np.random.default_rng(20240229)
 _A = _R.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _R.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
@@ -110,42 +110,62 @@ def salted(rows: DataFrame, few: DataFrame, on: str, by: str, how: str = "inner"
     return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(parts, [on, "__salt"], how).drop("__salt")
 
 
-def beside_pivots(pairs: DataFrame, data: DataFrame, payload: str, keep: list[str]) -> DataFrame:
-    """Rows (p, x, payload, *keep): each pivot's own row (x null) and behind it those of its members.
+def beside_pivots(pairs: DataFrame, data: DataFrame, payload: list[str], keep: list[str]) -> DataFrame:
+    """Rows (p, x, *payload, *keep): each pivot's own row (x null) and behind it those of its members.
 
     A pivot's members are spread over PIVOT_PARTS parts, and each part that has some gets a row of the pivot.
     """
     rows = pairs.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(PIVOT_PARTS)).cast("int"))
-    own = rows.join(data.select(F.col("cls").alias("x"), payload), "x").select("p", "part", "x", payload, *keep)
-    head = rows.select("p", "part").distinct().join(data.select(F.col("cls").alias("p"), payload), "p")
-    head = head.select("p", "part", F.lit(None).cast("binary").alias("x"), payload, *(F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in keep))
+    own = rows.join(data.select(F.col("cls").alias("x"), *payload), "x").select("p", "part", "x", *payload, *keep)
+    head = rows.select("p", "part").distinct().join(data.select(F.col("cls").alias("p"), *payload), "p")
+    head = head.select("p", "part", F.lit(None).cast("binary").alias("x"), *payload, *(F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in keep))
     both = own.unionByName(head).repartition("p", "part").sortWithinPartitions("p", "part", F.col("x").asc_nulls_first())
-    return both.select("p", "x", payload, *keep)
+    return both.select("p", "x", *payload, *keep)
 
 
-def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (p, x) that survive the sequential comparison of their signatures."""
+def plausible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows of the signature tables x and y that survive their sequential comparison."""
+    matches, done, at = np.zeros(len(x), np.int64), 0, np.arange(len(x))
+    for n, least in least_matches():
+        matches = matches + (x[at, done:n] == y[at, done:n]).sum(1)
+        keep = matches >= least
+        at, matches, done = at[keep], matches[keep], n
+    return at
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (p, x) with 100 * intersection >= 75 * union, of those whose signatures are plausible."""
 
     def run(batches):
-        pivot = np.zeros(HASHES, "<u2")
+        sig, text, own = np.zeros(HASHES, "<u2"), "", None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            # row 0 is the pivot that the last batch ended with
             head = np.array(batch.column(1).is_null())
-            sigs = np.vstack([pivot[None], np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, HASHES)])
+            sigs = np.vstack([sig[None], np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, HASHES)])
             of = np.maximum.accumulate(np.where(head, np.arange(1, len(head) + 1), 0))
-            live = np.flatnonzero(~head)
-            x, y = sigs[live + 1], sigs[of[live]]
-            pivot = sigs[of[-1]]
-            matches, done, at = np.zeros(len(live), np.int64), 0, np.arange(len(live))
-            for n, least in least_matches():
-                matches = matches + (x[at, done:n] == y[at, done:n]).sum(1)
-                keep = matches >= least
-                at, matches, done = at[keep], matches[keep], n
-            if len(at):
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(live[at])) for i in (0, 1)], names=["p", "x"])
-
-    return beside_pivots(pairs, classes, "sig", []).mapInArrow(run, "p binary, x binary")
+            rows = np.flatnonzero(~head)
+            rows = rows[plausible(sigs[rows + 1], sigs[of[rows]])]
+            sets = {0: own}
+            for part in np.array_split(rows, len(rows) // 256 + 1):
+                asked = sorted({*(part + 1).tolist(), *of[part].tolist()} - (set() if own is None and 0 in of[part] else {0}))
+                sets = {k: v for k, v in sets.items() if k in asked or k == 0 and v is not None}
+                asked = [i for i in asked if i not in sets]
+                for at, blobs in by_bytes([text if i == 0 else batch.column(3)[i - 1].as_py() for i in asked]):
+                    sets.update(zip(asked[at : at + len(blobs)], shingle_sets(blobs, SHINGLE), strict=True))
+                own = sets.get(0)
+                ok = []
+                for i in part.tolist():
+                    s, p = sets[i + 1], sets[int(of[i])]
+                    both = len(np.intersect1d(s, p, assume_unique=True))
+                    if DEN * both >= NUM * (len(s) + len(p) - both):
+                        ok.append(i)
+                yield batch.select([0, 1]).take(pa.array(ok, pa.int64()))
+            if of[-1]:
+                sig, text, own = sigs[of[-1]], batch.column(3)[int(of[-1]) - 1].as_py(), None
+
+    return beside_pivots(pairs, texts, ["sig", "text"], []).mapInArrow(run, "p binary, x binary")
 
 
 def _sets_beside_pivots(batches):
@@ -165,20 +185,6 @@ def _sets_beside_pivots(batches):
                 yield part.take(pa.array(picked)), own, pivots
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (p, x) whose full shingle sets have 100 * intersection >= 75 * union."""
-
-    def run(batches):
-        for part, own, pivots in _sets_beside_pivots(batches):
-            ok = []
-            for s, p in zip(own, pivots, strict=True):
-                both = len(np.intersect1d(s, p, assume_unique=True))
-                ok.append(DEN * both >= NUM * (len(s) + len(p) - both))
-            yield part.select([0, 1]).filter(pa.array(ok))
-
-    return beside_pivots(pairs, texts, "text", []).mapInArrow(run, "p binary, x binary")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(cls, label) for every end of ``links`` (a, b): label is the component's smallest class.
 
@@ -189,11 +195,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # a hub has its many neighbours here; afterwards a node's edges lead to the minima of its hubs
+        large = salted(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted(large, low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialize(small.distinct(), "stars")
-        ends = edges.groupBy("u").agg(F.count("*").alias("n"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("low")).distinct())
+        ends = edges.select("u", F.lit(1).alias("n"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(1).alias("low")))
         if ends.groupBy("u").agg(F.sum("n").alias("n"), F.max("low").alias("low")).where("n > 1 or (n = 1 and low = 1)").isEmpty():
             break
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("label")).distinct())
@@ -256,12 +263,12 @@ def differences(members: DataFrame, texts: DataFrame, common) -> DataFrame:
             cols = [part.column(3), part.column(1), part.column(4), part.column(5), pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(near), pa.array(first, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, schema=kind)
 
-    rows = beside_pivots(members, texts, "text", ["gid", "label", "deg"])
+    rows = beside_pivots(members, texts, ["text"], ["gid", "label", "deg"])
     return rows.mapInArrow(run, "gid binary, x binary, label binary, deg long, d long, e long, near boolean, first binary").select(*names)
 
 
 def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFrame, DataFrame]:
-    """Pairs (p, x) to compare and groups (gid, p, x) still open after them, of groups (gid, p, x, label, deg).
+    """Pairs (p, x) to compare and groups (gid, p, x, deg) still open after them, of groups (gid, p, x, label, deg).
 
     Members are put in bins by the size of their differences. For each bin on the other side it follows from
     the least ``e`` there how many elements a pair must share, so how many of the first ones have to
@@ -302,7 +309,7 @@ def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFr
     own = own.select("x", F.explode(F.filter("pivots", lambda p: (p["label"] != F.col("label")) & ((p["deg"] > F.col("deg")) | (p["deg"] == F.col("deg")) & (p["x"] > F.col("x"))))).alias("p"))
     pairs = own.select("p.x", F.col("x").alias("o")).select(F.col("x").alias("p"), F.col("o").alias("x"))
     others = seen.where((F.col("n") > PIVOTS + 1) & ~F.exists("pivots", lambda p: p["x"] == F.col("x")))
-    groups = others.withColumn("p", F.col("pivots")[0]["x"]).select(F.unhex(F.md5(F.concat("gid", "p"))).alias("gid"), "p", "x")
+    groups = others.withColumn("p", F.col("pivots")[0]["x"]).select(F.unhex(F.md5(F.concat("gid", "p"))).alias("gid"), "p", "x", "deg")
     return pairs, materialize(groups.distinct(), "groups")
 
 
@@ -321,11 +328,12 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
     # the class with the most neighbours is near the middle of its group: a better pivot than any other
     degrees = materialize(members.groupBy("cls").agg(F.sum("n").alias("deg")), "degrees")
     # texts of the classes that have candidates; a doc_id may come with several texts, so cls is checked
-    wanted = degrees.join(classes.select("cls", "rep"), "cls").select("cls", "rep")
-    texts = _texts(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text"))
+    wanted = degrees.join(classes, "cls").select("cls", "rep", "sig")
+    texts = _texts(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "sig", "text"))
     texts = materialize(texts.dropDuplicates(["cls"]), "candidate-texts", 2000)
-    pivots = members.join(degrees, "cls").groupBy("bucket").agg(F.max(F.struct("deg", "cls"))["cls"].alias("p"))
-    groups = salted(members, pivots, "bucket", "cls").where("cls <> p").select(F.col("p").alias("gid"), "p", F.col("cls").alias("x")).distinct()
+    members = materialize(members.join(degrees, "cls"), "band-members")
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("deg", "cls"))["cls"].alias("p"))
+    groups = salted(members, pivots, "bucket", "cls").where("cls <> p").select(F.col("p").alias("gid"), "p", F.col("cls").alias("x"), "deg").distinct()
     groups, tested, labels, common = materialize(groups, "groups"), None, None, None
     pairs = groups.select("p", "x")
     while True:
@@ -333,7 +341,7 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
             pairs = pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct()
             pairs = pairs.join(tested, ["p", "x"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        links = materialize(confirm(plausible(pairs, classes), texts), "confirmed", 1000).select(F.col("p").alias("a"), F.col("x").alias("b"))
+        links = materialize(verify(pairs, texts), "confirmed", 1000).select(F.col("p").alias("a"), F.col("x").alias("b"))
         if labels is None:
             labels = components(links)
         elif not links.isEmpty():
@@ -342,7 +350,7 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
         tested = pairs if tested is None else tested.unionByName(pairs)
         named = groups.join(labels.withColumnRenamed("cls", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
         mixed = named.groupBy("gid").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("gid")
-        left = materialize(salted(named, mixed, "gid", "x").join(degrees.select(F.col("cls").alias("x"), "deg"), "x"), "mixed")
+        left = materialize(salted(named, mixed, "gid", "x"), "mixed")
         if left.isEmpty():
             return labels
         if common is None:
@@ -351,17 +359,17 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    """Rows (cls, text) whose text has the shingle set that cls names."""
+    """Rows (cls, sig, text) whose text has the shingle set that cls names."""
 
     def run(batches):
         for b in batches:
-            for at, blobs in by_bytes(b.column(1).to_pylist()):
+            for at, blobs in by_bytes(b.column(2).to_pylist()):
                 part = b.slice(at, len(blobs))
                 cls = part.column(0).to_pylist()
                 own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c for s, c in zip(shingle_sets(blobs, SHINGLE), cls, strict=True)]
                 yield part.filter(pa.array(own))
 
-    return rows.mapInArrow(run, "cls binary, text string")
+    return rows.mapInArrow(run, "cls binary, sig binary, text string")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
