@@ -150,7 +150,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             sets = {0: own}
             for part in np.array_split(rows, len(rows) // 256 + 1):
                 asked = sorted({*(part + 1).tolist(), *of[part].tolist()} - (set() if own is None and 0 in of[part] else {0}))
-                sets = {k: v for k, v in sets.items() if k in asked or k == 0 and v is not None}
+                sets = {k: v for k, v in sets.items() if v is not None and (k in asked or k == 0)}
                 asked = [i for i in asked if i not in sets]
                 for at, blobs in by_bytes([text if i == 0 else batch.column(3)[i - 1].as_py() for i in asked]):
                     sets.update(zip(asked[at : at + len(blobs)], shingle_sets(blobs, SHINGLE), strict=True))

@@ -96,6 +96,24 @@ def test_groups_are_told_apart_with_one_pivot(spark, monkeypatch):
     assert got == sorted(brute_components(rows))
 
 
+def test_pairs_are_verified_across_batches(spark):
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    base = neardup.prepare(docs).collect()
+    texts = spark.createDataFrame([(r.cls, r.sig, t) for r, (_, t) in zip(base, rows, strict=True)], "cls binary, sig binary, text string").dropDuplicates(["cls"])
+    sets = dict(zip([bytes(r.cls) for r in base], shingle_sets([t.encode() for _, t in rows], 5), strict=True))
+    pivots = [bytes(base[k].cls) for k in (0, 3, 7)]
+    pairs = {(p, x) for p in pivots for x in sets if x != p}
+    want = {(p, x) for p, x in pairs if 4 * len(np.intersect1d(sets[p], sets[x])) >= 3 * len(np.union1d(sets[p], sets[x]))}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        got = neardup.verify(spark.createDataFrame(list(pairs), "p binary, x binary"), texts).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(want) > 20 and {(bytes(r.p), bytes(r.x)) for r in got} == want
+
+
 def test_one_of_each_group_stays(spark):
     docs = odd_docs(spark)
     out = neardup.drop_near_duplicates(docs)
