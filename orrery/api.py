@@ -124,7 +124,7 @@ def snap_to_dict(spark: SparkSession, path: str) -> dict:
     for t in range(6):
         blocks = list(dict.fromkeys(b for _, _, lay in found for b in lay.blocks if lay.has(b, t) and lay.rows(t)))
         if sum(lay.rows(t) for _, _, lay in found):
-            out[f"PartType{t}"] = _snap.read(spark, path, blocks, -1).where(F.col("parttype") == t) if blocks else spark.range(0)
+            out[f"PartType{t}"] = _snap.read(spark, path, blocks, t) if blocks else spark.range(0)
     return out
 
 
@@ -240,7 +240,7 @@ def read_positions_from_keys(spark: SparkSession, path: str, lo: Vec, hi: Vec, p
     if not _storage.exists(f"{path}.0.key"):
         raise FileNotFoundError(f"there is no {path}.0.key")
     h = read_keyheader(f"{path}.0.key")
-    cells = _snap.read(spark, path, ["KEY", "NKEY", "OKEY"], suffix=".key").where(F.col("parttype") == parttype)
+    cells = _snap.read(spark, path, ["KEY", "NKEY", "OKEY"], parttype, suffix=".key")
     wanted = hilbert.key_list(spark, lo, hi, h.corners, h.factor, h.bits).select(F.col("key").alias("KEY"))
     hit = cells.join(wanted, "KEY", "left_semi")
     return rows.merge_runs(hit.select("file", F.col("OKEY").alias("index"), F.col("NKEY").alias("n_to_read")))
@@ -271,7 +271,7 @@ def read_subfind_length(path: str, block: str) -> int:
 def catalogue(spark: SparkSession, path: str, blocks: list[str]) -> DataFrame:
     """Catalogue rows: file, 1-based id, global 0-based gidx and the blocks (all of one kind)."""
     t = _catalogue_type(path, blocks)
-    df = _snap.read(spark, path, blocks).where(F.col("parttype") == t)
+    df = _snap.read(spark, path, blocks, t)
     counts = spark.createDataFrame([(n, lay.rows(t)) for n, _, lay in _snap.layouts({"path": path})], "file int, n bigint")
     first = running_sums(counts, "file", [], {"first": F.col("n")}).select("file", "first")
     return df.join(F.broadcast(first), "file").select("file", (F.col("row") + 1).alias("id"), (F.col("first") + F.col("row")).alias("gidx"), *blocks)  # one row a file

@@ -20,6 +20,10 @@ def filter_halos(halos: DataFrame, predicate: str | Column | Callable[[DataFrame
     return out.select("file", "id")
 
 
+#: Bits of a global index within a block.
+BLOCK_BITS = 16
+
+
 def most_massive(halos: DataFrame, mass: str = "mtop", files: int | None = None) -> DataFrame:
     """The row of the largest mass; ties go to the first (file, id); NaN masses are ignored."""
     if files is not None:
@@ -40,10 +44,15 @@ def by_global_index(halos: DataFrame, ids: DataFrame) -> DataFrame:
 def locate(gidx: DataFrame, counts: DataFrame) -> DataFrame:
     """(gidx, file, id) of global 0-based indexes: files hold ``n`` rows each; id is 1-based.
 
-    One row a file: its first index is a running sum, and the join is a range of that.
+    A file's first index is a running sum. Files are repeated for each block of 2**BLOCK_BITS indexes
+    that they touch, so the range is an equi-join on blocks.
     """
-    starts = running_sums(counts, "file", [], {"first": F.col("n")})
-    return gidx.join(F.broadcast(starts), (F.col("gidx") >= F.col("first")) & (F.col("gidx") < F.col("first") + F.col("n"))).select("gidx", "file", (F.col("gidx") - F.col("first") + 1).alias("id"))
+    starts = running_sums(counts.where("n > 0"), "file", [], {"first": F.col("n")})
+    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    starts = starts.withColumn("__k", F.explode(F.sequence(block(F.col("first")), block(F.col("first") + F.col("n") - 1))))
+    inside = (F.col("gidx") >= F.col("first")) & (F.col("gidx") < F.col("first") + F.col("n"))
+    both = gidx.withColumn("__k", block(F.col("gidx"))).join(starts, "__k").where(inside)
+    return both.select("gidx", "file", (F.col("gidx") - F.col("first") + 1).alias("id"))
 
 
 def locators_to_runs(ids: DataFrame) -> DataFrame:

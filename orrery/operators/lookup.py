@@ -23,16 +23,26 @@ def positions_all(find: DataFrame, check: DataFrame) -> DataFrame:
     return check.join(find.select("value"), "value", "left_semi").select("pos", "value")
 
 
-def intervals_of(points: DataFrame, intervals: DataFrame, point: str = "point", width: int = 1 << 20) -> DataFrame:
-    """Intervals (low, high, ...) that hold a point, as an equi-join on blocks of ``width`` values.
+#: Bits between the block sizes that intervals may have.
+LEVEL_BITS = 4
 
-    An interval is repeated for each block that it touches, so no nested-loop join is needed.
+
+def intervals_of(points: DataFrame, intervals: DataFrame, point: str = "point") -> DataFrame:
+    """Intervals (low, high, ...) that hold a point, as an equi-join on blocks of values.
+
+    The blocks' size follows from an interval's length, so it touches at most 2**LEVEL_BITS + 1 of them;
+    points look up their block of each size that some interval has (at most 64 / LEVEL_BITS).
     """
-    block = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
-    spread = intervals.withColumn("__k", F.explode(F.sequence(block("low"), block("high"))))
-    blocks = points.select(F.col(point).alias("__p")).distinct().withColumn("__k", F.floor(F.col("__p") / F.lit(width)).cast("bigint"))
-    hit = spread.join(blocks, (spread["__k"] == blocks["__k"]) & F.col("__p").between(F.col("low"), F.col("high")), "left_semi")
-    return hit.drop("__k").distinct()
+    level = F.least(F.lit(60 // LEVEL_BITS), F.floor(F.log2(F.col("high").cast("double") - F.col("low").cast("double") + 1) / LEVEL_BITS)).cast("int")
+    spread = intervals.where("low <= high").withColumn("__l", level)
+    sizes = sorted(r[0] for r in spread.select("__l").distinct().collect())
+    at = lambda c, n: F.shiftright(F.col(c), n * LEVEL_BITS)
+    block = lambda c: F.coalesce(*(F.when(F.col("__l") == n, at(c, n)) for n in sizes), F.lit(0))
+    spread = spread.withColumn("__k", F.explode(F.sequence(block("low"), block("high"))))
+    asked = points.select(F.col(point).cast("bigint").alias("__p")).distinct()
+    blocks = asked.select("__p", F.explode(F.array(*(F.struct(F.lit(n).alias("__l"), at("__p", n).alias("__k")) for n in sizes))).alias("__b")).select("__p", "__b.*") if sizes else asked.select("__p", F.lit(0).alias("__l"), F.lit(0).cast("bigint").alias("__k"))
+    hit = spread.join(blocks, (spread["__l"] == blocks["__l"]) & (spread["__k"] == blocks["__k"]) & F.col("__p").between(F.col("low"), F.col("high")), "left_semi")
+    return hit.drop("__k", "__l").distinct()
 
 
 def files_for_keys(keys: DataFrame, ranges: DataFrame) -> DataFrame:

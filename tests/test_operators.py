@@ -116,3 +116,29 @@ def test_log(spark):
     steps = simlog.parse(df)
     assert sorted(map(tuple, steps.select("step", "time", "active").collect())) == [(1, 3.0, 20), (2, 4.0, 30)]
     assert simlog.summary(steps).first().max_active == 30
+
+
+def test_intervals_of_any_length(spark):
+    import random
+
+    from orrery.operators import lookup
+
+    rng = random.Random(5)
+    spans = [(a, a + rng.choice([0, 3, 200, 1 << 21, 1 << 40, 1 << 62])) for a in (rng.randrange(-(1 << 61), 1 << 61) for _ in range(60))] + [(5, 4), (0, 0), (-3, 3)]
+    points = [rng.choice(spans)[0] + rng.randrange(-2, 4) for _ in range(80)] + [0, 5]
+    iv = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(spans)], "n int, low bigint, high bigint")
+    got = {r.n for r in lookup.intervals_of(spark.createDataFrame([(p,) for p in points], "point bigint"), iv).collect()}
+    assert got == {k for k, (a, b) in enumerate(spans) if any(a <= p <= b for p in points)}
+    none = lookup.intervals_of(spark.createDataFrame([(1,)], "point bigint"), iv.limit(0))
+    assert none.columns == iv.columns and none.count() == 0
+
+
+def test_locate_over_block_ends(spark):
+    from orrery.operators import halos
+
+    counts = [(0, 70_000), (1, 0), (2, 1), (3, 200_000)]
+    asked = [0, 65_535, 65_536, 69_999, 70_000, 70_001, 131_072, 270_000, 270_001, -1]
+    out = halos.locate(spark.createDataFrame([(g,) for g in asked], "gidx bigint"), spark.createDataFrame(counts, "file int, n bigint"))
+    got = {r.gidx: (r.file, r.id) for r in out.collect()}
+    assert got == {0: (0, 1), 65_535: (0, 65_536), 65_536: (0, 65_537), 69_999: (0, 70_000), 70_000: (2, 1), 70_001: (3, 1), 131_072: (3, 61_072), 270_000: (3, 200_000)}
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
