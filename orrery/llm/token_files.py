@@ -23,23 +23,22 @@ from .tokens import encoder
 
 MAGIC = b"TOKZDIC1"
 END = 2
-#: Bounds of the sample that trains the compression dictionary (documents, characters of each); it
-#: changes sizes, never contents.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 400, 10_000, 64 << 10
+#: Bounds of the sample that trains the compression dictionary (documents, bytes of each); it changes
+#: sizes, never contents.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY = 400, 10_000, 64 << 10
 LEVEL = 3
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int = END) -> bytes:
-    """A zstandard dictionary from the serialized ids of SAMPLE_DOCS documents of up to SAMPLE_CHARS characters.
+    """A zstandard dictionary from the serialized ids of SAMPLE_DOCS documents of up to SAMPLE_BYTES bytes.
 
     They are the first by hash of doc_id. Empty (no dictionary) if there are too few to train on.
     """
     import zstandard
 
-    size = F.length("text")
-    usable = docs.where(F.col("doc_id").isNotNull() & (size > 0) & (size <= SAMPLE_CHARS)).select("doc_id", "text")
-    picked = [r[0] for r in usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    texts = sorted(r[0] for r in usable.where(F.col("doc_id").isin(picked)).groupBy("doc_id").agg(F.min("text").alias("text")).select("text").collect()) if picked else []
+    size = F.octet_length("text")
+    usable = docs.where(F.col("doc_id").isNotNull() & (size > 0) & (size <= SAMPLE_BYTES)).select("doc_id", "text")
+    texts = [r["text"] for r in usable.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()]
     ids = [np.frombuffer(x, "<u4").astype(_width(tokenizer)).tobytes() for x in encoder(tokenizer).ids(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY, [x[i : i + 2048] for x in ids for i in range(0, len(x), 2048)]).as_bytes()
