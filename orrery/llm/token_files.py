@@ -38,7 +38,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int = END) -> bytes:
 
     size = F.octet_length("text")
     usable = docs.where(F.col("doc_id").isNotNull() & (size > 0) & (size <= SAMPLE_BYTES)).select("doc_id", "text")
-    texts = [r["text"] for r in usable.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()]
+    picked = [r[0] for r in usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    texts = sorted(r["text"] for r in usable.where(F.col("doc_id").isin(picked)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()) if picked else []
     ids = [np.frombuffer(x, "<u4").astype(_width(tokenizer)).tobytes() for x in encoder(tokenizer).ids(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY, [x[i : i + 2048] for x in ids for i in range(0, len(x), 2048)]).as_bytes()
