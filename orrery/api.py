@@ -113,6 +113,8 @@ def get_first_containing_file(path: str, parttype: int) -> int:
 def read_block(spark: SparkSession, path: str, block: str | int, parttype: int = 0, offset: int = 0, n_to_read: int = -1, **options) -> DataFrame:
     """file, parttype, row and one block by name or number; parttype -1 is all; a slice counts over sub-files."""
     if isinstance(block, int):
+        if not 1 <= block <= len(_layout.NUMBERED):
+            raise ValueError(f"there is no usual block {block}: numbers go from 1 to {len(_layout.NUMBERED)}")
         block = _layout.NUMBERED[block - 1]
     return _snap.read(spark, path, [block], parttype, offset=offset, n_to_read=n_to_read, **options)
 
@@ -143,14 +145,23 @@ def _list(blocks: str | list[str]) -> list[str]:
     return [blocks] if isinstance(blocks, str) else list(blocks)
 
 
-def read_particles_in_box(spark, path, blocks, lo: Vec, hi: Vec, parttype: int = 0, use_keys: bool = False, cells: bool = False) -> DataFrame:
-    """Rows in the box, both ends included. With key files whole cells are found first; ``cells`` keeps them all."""
+def _in_order(df: DataFrame, ordered: bool) -> DataFrame:
+    return df.orderBy("file", "row") if ordered else df
+
+
+def read_particles_in_box(spark, path, blocks, lo: Vec, hi: Vec, parttype: int = 0, use_keys: bool = False, cells: bool = False, ordered: bool = False) -> DataFrame:
+    """Rows in the box, both ends included; ``ordered`` sorts them by file and row.
+
+    With key files the cells' runs are found first and nothing else is read; ``cells`` keeps all of their rows.
+    """
     names = _list(blocks)
-    df = _table(spark, path, names, parttype, ["POS"])
+    also = [] if use_keys and cells else ["POS"]
     if use_keys:
-        df = rows.gather(df, read_positions_from_keys(spark, path, lo, hi, parttype))
+        df = _snap.read_runs(read_positions_from_keys(spark, path, lo, hi, parttype), path, list(dict.fromkeys([*names, *also])), parttype)
+    else:
+        df = _table(spark, path, names, parttype, also)
     out = df if use_keys and cells else selection.box(df, lo, hi)
-    return out.select("file", "parttype", "row", *names)
+    return _in_order(out.select("file", "parttype", "row", *names), ordered)
 
 
 def read_particles_in_volume(spark, path, blocks, center: Vec, radius: float, parttype: int = 0, **more) -> DataFrame:
@@ -171,17 +182,16 @@ def find_read_positions(df: DataFrame, chosen: str | Column | Callable | Geometr
     return rows.to_runs(picked)
 
 
-def read_blocks_filtered(spark, path, blocks, filter_function=None, read_positions: DataFrame | None = None, parttype: int = 0, also: tuple[str, ...] = ()) -> DataFrame:
-    """Blocks of the rows that a filter keeps, or that saved runs name."""
+def read_blocks_filtered(spark, path, blocks, filter_function=None, read_positions: DataFrame | None = None, parttype: int = 0, also: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
+    """Blocks of the rows that a filter keeps, or that saved runs name (only those rows are read); ``ordered`` sorts by file and row."""
     names = _list(blocks)
-    df = _table(spark, path, names, parttype, also)
     if read_positions is not None:
-        df = rows.gather(df, read_positions)
+        df = _snap.read_runs(rows.merge_runs(read_positions), path, names, parttype)
     elif filter_function is not None:
-        df = selection.filtered(df, filter_function)
+        df = selection.filtered(_table(spark, path, names, parttype, also), filter_function)
     else:
         raise ValueError("give a filter or row positions")
-    return df.select("file", "parttype", "row", *names)
+    return _in_order(df.select("file", "parttype", "row", *names), ordered)
 
 
 save_read_positions, load_read_positions = rows.save, rows.load

@@ -1,4 +1,4 @@
-"""Timing logs as a stream: steps of log files as they appear, by step, with the last line kept."""
+"""Timing logs as a stream: steps of log files as they appear."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def stream_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """Streaming (step, time, active) of the log files in ``folder``; aggregate in update mode."""
+    """Streaming (step, time, active) of the log files in ``folder``: a row for each line that names a step."""
     field = F.split("value", "=")
     rows = spark.readStream.text(folder).where(F.col("value").contains("Step"))
     return rows.select(

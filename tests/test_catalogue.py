@@ -115,3 +115,20 @@ def test_log_file(spark, tmp_path):
     (tmp_path / "log.txt").write_text(line(1, 3600.0, 10) + "other\n" + line(2, 7200.0, 30))
     r = api.print_performance(spark, str(tmp_path / "log.txt")).first()
     assert (r.last_step, r.total_hours, r.max_active) == (2, 3.0, 30)
+
+
+def test_log_stream(spark, tmp_path):
+    """Files that appear later are read too; lines without a step give nothing."""
+    from orrery.streaming.logs import stream_steps
+
+    line = lambda s, t, a: f"Step={s:>9} Time={t:>10} Active={a:>11}\n"
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.txt").write_text(line(1, 3600.0, 10) + "other\n")
+    query = stream_steps(spark, str(tmp_path / "logs")).writeStream.format("memory").queryName("log_steps").option("checkpointLocation", str(tmp_path / "at")).start()
+    try:
+        query.processAllAvailable()
+        (tmp_path / "logs" / "b.txt").write_text(line(2, 7200.0, 30))
+        query.processAllAvailable()
+        assert sorted(map(tuple, spark.table("log_steps").collect())) == [(1, 3600.0, 10), (2, 7200.0, 30)]
+    finally:
+        query.stop()

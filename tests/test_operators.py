@@ -81,6 +81,29 @@ def test_runs(spark):
     assert rows.decode_positions(rows.encode_positions(own)) == (own, 5)
 
 
+@pytest.mark.parametrize("stretch", [4, 1 << 20])
+def test_runs_over_stretches(spark, monkeypatch, stretch):
+    """Runs of whole stretches, of parts of them and across several, with repeats and overlaps, against sets of rows."""
+    import random
+
+    monkeypatch.setattr(rows, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    given = [(f, rng.randrange(150), rng.choice([0, 1, 2, 3, 9])) for f in (0, 1) for _ in range(25)] + [(2, 0, 16), (2, 20, 4), (2, 20, 4), (3, 5, 0)]
+    picked = sorted({(f, r) for f, i, n in given for r in range(i, i + n)})
+    want = []
+    for f, r in picked:
+        if want and want[-1][0] == f and want[-1][1] + want[-1][2] == r:
+            want[-1][2] += 1
+        else:
+            want.append([f, r, 1])
+    want = [tuple(w) for w in want]
+    runs = spark.createDataFrame(given, "file int, index bigint, n_to_read bigint")
+    assert sorted(map(tuple, rows.merge_runs(runs).collect())) == want
+    single = spark.createDataFrame(picked + picked[:9], "file int, row bigint")
+    assert sorted(map(tuple, rows.to_runs(single).collect())) == want
+    assert rows.to_runs(single.limit(0)).count() == rows.merge_runs(runs.limit(0)).count() == 0
+
+
 def test_lookups(spark):
     find = spark.createDataFrame([(0, 1), (1, 29), (2, 12)], "ordinal int, value int")
     check = spark.createDataFrame(list(enumerate([12, 1, 18, 19, 29], 1)), "pos int, value int")
