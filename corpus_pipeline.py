@@ -50,7 +50,7 @@ STAGES = [
     ("source mix", mix_sources),
     ("packing", pack),
 ]
-#: SQL cannot express the tokenizer. The tests compare stages with the operators they are made of, not with brute force.
+#: SQL cannot express the tokenizer. A test compares run() with its five stages in plain Python.
 ORACLE_SQL = None
 
 
