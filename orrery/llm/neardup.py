@@ -37,6 +37,12 @@ GAP = (DEN + NUM) // (DEN - NUM)
 SALTS, PIVOT_PARTS = 8, 64
 #: Frequent shingles that the order of difference elements knows of; it changes the work, not the links.
 COMMON = 20_000
+#: Bits of the sketch of a shingle set; fewer or more change the work, not the links.
+SKETCH = 2048
+#: Links whose components one task finds.
+ONE_TASK = 200_000
+#: Words of 64 bits that tell the ids of rows with candidates.
+WORDS = 1 << 18
 #: Bins of difference sizes for a factor e.
 BINS = 5
 #: Pivots of a set of members with a common element of their differences.
@@ -79,6 +85,15 @@ def least_matches(step: int = STEP, hashes: int = HASHES, miss: float = MISS) ->
     return tuple(out)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH bits, each the parity of the shingles that fall on it.
+
+    What both sets hold cancels out, so two sketches differ in at most as many bits as the sets in elements.
+    """
+    odd = np.bincount((shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def prepare(docs: DataFrame, digests: bool = False) -> DataFrame:
     """(doc_id, n_shingles, cls, sig) of each row: cls names its shingle set, null if that is empty.
 
@@ -185,12 +200,34 @@ def _sets_beside_pivots(batches):
                 yield part.take(pa.array(picked)), own, pivots
 
 
+def _joined(batches):
+    """(cls, label) of all ends of the links in ``batches``, by union and find; roots are the smallest ends."""
+    up: dict[bytes, bytes] = {}
+
+    def root(c: bytes) -> bytes:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    ends = list(up)
+    for i in range(0, len(ends), 10_000):
+        part = ends[i : i + 10_000]
+        yield pa.RecordBatch.from_pydict({"cls": part, "label": [root(c) for c in part]}, schema=pa.schema([("cls", pa.binary()), ("label", pa.binary())]))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cls, label) for every end of ``links`` (a, b): label is the component's smallest class.
 
-    Alternating large and small stars; a round is two minima per node and two joins, written to the
+    Up to ONE_TASK links are joined by one task. Beyond, alternating large and small stars; a round is two minima per node and two joins, written to the
     shared folder. It ends when every node has one edge, to a node without a smaller neighbour.
     """
+    if links.count() <= ONE_TASK:
+        return materialize(links.select("a", "b").coalesce(1).mapInArrow(_joined, "cls binary, label binary"), "labels")
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -267,6 +304,18 @@ def differences(members: DataFrame, texts: DataFrame, common) -> DataFrame:
     return rows.mapInArrow(run, "gid binary, x binary, label binary, deg long, d long, e long, near boolean, first binary").select(*names)
 
 
+def near_enough(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (p, x) of members with their ``pivots``, without those whose sketches differ in too many bits for a link.
+
+    The bound is exact; it keeps texts and signatures of most pairs from being moved.
+    """
+    bits = texts.select("cls", "size", "bits")
+    own = own.join(bits.withColumnRenamed("cls", "x"), "x").select("x", "size", "bits", F.explode("pivots").alias("p"))
+    both = own.join(bits.select(F.col("cls").alias("p"), F.col("size").alias("size_p"), F.col("bits").alias("bits_p")), "p")
+    apart = F.aggregate(F.zip_with("bits", "bits_p", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+    return both.where(GAP * F.greatest(apart.cast("long"), F.abs(F.col("size") - F.col("size_p"))) <= F.col("size") + F.col("size_p")).select("p", "x")
+
+
 def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFrame, DataFrame]:
     """Pairs (p, x) to compare and groups (gid, p, x, deg) still open after them, of groups (gid, p, x, label, deg).
 
@@ -297,7 +346,7 @@ def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFr
 
     met = asked.mapInArrow(run, "gid binary, x binary, label binary, deg long, spot long, h long")
     met = materialize(met.withColumn("spot", F.xxhash64("spot", "h")).drop("h"), "elements")
-    spots = met.groupBy("spot").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("s"), F.bit_xor(F.xxhash64("label", "x")).alias("t")).where("l0 <> l1")
+    spots = met.groupBy("spot").agg(F.min(F.xxhash64("label")).alias("l0"), F.max(F.xxhash64("label")).alias("l1"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("s"), F.bit_xor(F.xxhash64("label", "x")).alias("t")).where("l0 <> l1")
     spots = spots.groupBy("n", "s", "t").agg(F.min("spot").alias("spot")).select("spot", "n")  # the same members meet once
     met = materialize(salted(met, spots, "spot", "x"), "meetings")
     nth = F.row_number().over(Window.partitionBy("spot").orderBy(F.desc("deg"), F.desc("x")))
@@ -305,14 +354,31 @@ def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFr
     top = materialize(top.groupBy("spot").agg(F.reverse(F.array_sort(F.collect_list(F.struct("deg", "x", "label")))).alias("pivots")), "pivots")
     # a member gets the pivots of all its meetings together, so that a pair comes up once
     seen = salted(met, top, "spot", "x").select("spot", "gid", "n", "x", "deg", "label", "pivots")
-    own = seen.groupBy("x", "deg", "label").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
-    own = own.select("x", F.explode(F.filter("pivots", lambda p: (p["label"] != F.col("label")) & ((p["deg"] > F.col("deg")) | (p["deg"] == F.col("deg")) & (p["x"] > F.col("x"))))).alias("p"))
-    pairs = own.select("p.x", F.col("x").alias("o")).select(F.col("x").alias("p"), F.col("o").alias("x"))
+    own = seen.groupBy("x").agg(F.first("deg").alias("deg"), F.first("label").alias("label"), F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
+    own = own.select("x", F.filter("pivots", lambda p: (p["label"] != F.col("label")) & ((p["deg"] > F.col("deg")) | (p["deg"] == F.col("deg")) & (p["x"] > F.col("x")))).alias("pivots")).where(F.size("pivots") > 0)
+    pairs = near_enough(own.select("x", F.transform("pivots", lambda p: p["x"]).alias("pivots")), texts)
     others = seen.where((F.col("n") > PIVOTS + 1) & ~F.exists("pivots", lambda p: p["x"] == F.col("x")))
     groups = others.withColumn("p", F.col("pivots")[0]["x"]).select(F.unhex(F.md5(F.concat("gid", "p"))).alias("gid"), "p", "x", "deg")
     return pairs, materialize(groups.distinct(), "groups")
 
 
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (one column), and some more.
+
+    Ids are known by one of 64 * WORDS bits, a table of at most WORDS rows that is broadcast: texts that are
+    not asked for stay where they are, whatever the number of ids.
+    """
+
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(64 * WORDS))
+
+    bit = place(ids.columns[0])
+    words = ids.select(F.shiftright(bit, 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("__bits"))
+    words = words.groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+    rows = docs.withColumn("__place", place("doc_id")).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(words), "__word")
+    return rows.where(F.getbit("__bits", F.col("__place").bitwiseAND(63).cast("int")) == 1).select(docs.columns)
+
+
 def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
     """(cls, label) of the classes that are linked with others.
 
@@ -329,7 +395,7 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
     degrees = materialize(members.groupBy("cls").agg(F.sum("n").alias("deg")), "degrees")
     # texts of the classes that have candidates; a doc_id may come with several texts, so cls is checked
     wanted = degrees.join(classes, "cls").select("cls", "rep", "sig")
-    texts = _texts(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "sig", "text"))
+    texts = _texts(with_ids(docs.select("doc_id", "text"), wanted.select("rep")).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "sig", "text"))
     texts = materialize(texts.dropDuplicates(["cls"]), "candidate-texts", 2000)
     members = materialize(members.join(degrees, "cls"), "band-members")
     pivots = members.groupBy("bucket").agg(F.max(F.struct("deg", "cls"))["cls"].alias("p"))
@@ -340,7 +406,7 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
         if tested is not None:  # compared before, in either direction
             pairs = pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct()
             pairs = pairs.join(tested, ["p", "x"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+            pairs = materialize(pairs, "pairs")
         links = materialize(verify(pairs, texts), "confirmed", 1000).select(F.col("p").alias("a"), F.col("x").alias("b"))
         if labels is None:
             labels = components(links)
@@ -359,17 +425,18 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    """Rows (cls, sig, text) whose text has the shingle set that cls names."""
+    """Rows (cls, sig, text) whose text has the shingle set that cls names, with the set's size and sketch."""
+    kind = pa.schema([("cls", pa.binary()), ("sig", pa.binary()), ("text", pa.string()), ("size", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
             for at, blobs in by_bytes(b.column(2).to_pylist()):
-                part = b.slice(at, len(blobs))
-                cls = part.column(0).to_pylist()
-                own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c for s, c in zip(shingle_sets(blobs, SHINGLE), cls, strict=True)]
-                yield part.filter(pa.array(own))
+                part, sets = b.slice(at, len(blobs)), shingle_sets(blobs, SHINGLE)
+                own = [i for i, (s, c) in enumerate(zip(sets, part.column(0).to_pylist(), strict=True)) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c]
+                cols = [*part.take(pa.array(own, pa.int64())).columns, pa.array([len(sets[i]) for i in own], pa.int64()), pa.array([sketch(sets[i]) for i in own], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, schema=kind)
 
-    return rows.mapInArrow(run, "cls binary, sig binary, text string")
+    return rows.mapInArrow(run, "cls binary, sig binary, text string, size long, bits array<long>")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -96,6 +96,50 @@ def test_groups_are_told_apart_with_one_pivot(spark, monkeypatch):
     assert got == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_components_by_one_task_and_by_stars(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "ONE_TASK", most)
+    rng, names = random.Random(8), [bytes([k]) for k in range(60)]
+    links = [(names[k], names[k + 1]) for k in range(0, 20)] + [(names[rng.randrange(21, 60)], names[rng.randrange(21, 60)]) for _ in range(15)]
+    low = {n: n for link in links for n in link}
+    for _ in links:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = neardup.components(spark.createDataFrame([x for x in links if x[0] != x[1]], "a binary, b binary")).collect()
+    linked = {n for a, b in links if a != b for n in (a, b)}
+    assert {(bytes(r.cls), bytes(r.label)) for r in got} == {(n, low[n]) for n in linked} and len(got) == len(linked)
+
+
+def test_sketches_never_part_linked_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 300, 4000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, n * 7 // 8)], rng.integers(0, 1 << 63, n // 16).astype(np.uint64)]))
+        x, y = (np.unpackbits(neardup.sketch(s).view(np.uint8)) for s in (a, b))
+        assert len(x) == neardup.SKETCH and (x != y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_few_unlinked_pairs_are_compared(spark):
+    # sets that share 60 words of 100 with the pivot and with each other
+    base = words(100, 50).split()
+    texts = [" ".join(base[:60] + words(40, 500 + k).split()) for k in range(30)]
+    sets = shingle_sets([t.encode() for t in texts], 5)
+    kind = "cls binary, sig binary, text string, size long, bits array<long>"
+    table = spark.createDataFrame([(bytes([k]), neardup.signature(s), t, len(s), neardup.sketch(s).tolist()) for k, (s, t) in enumerate(zip(sets, texts, strict=True))], kind)
+    own = spark.createDataFrame([(bytes([0]), [bytes([k]) for k in range(1, 30)])], "x binary, pivots array<binary>")
+    assert neardup.near_enough(own, table).count() == 0
+    near = spark.createDataFrame([(b"a", None, "", 300, neardup.sketch(sets[0]).tolist()), (b"b", None, "", 300, neardup.sketch(sets[0][:-5]).tolist())], kind)
+    assert [tuple(map(bytes, r)) for r in neardup.near_enough(spark.createDataFrame([(b"a", [b"b"])], "x binary, pivots array<binary>"), near).collect()] == [(b"b", b"a")]
+
+
+@pytest.mark.parametrize("size", [1, 1 << 18])
+def test_rows_with_wanted_ids_are_kept(spark, monkeypatch, size):
+    monkeypatch.setattr(neardup, "WORDS", size)
+    docs = spark.createDataFrame([(i, str(i)) for i in [None, *range(-500, 500)]], "doc_id bigint, text string")
+    got = [r.doc_id for r in neardup.with_ids(docs, spark.createDataFrame([(None,), (-3,), (7,), (7,)], "rep bigint")).collect()]
+    assert {None, -3, 7} <= set(got) and len(got) == len(set(got)) and (size == 1 or len(got) < 10)
+
+
 def test_pairs_are_verified_across_batches(spark):
     rows = near_rows()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
