@@ -316,6 +316,22 @@ def near_enough(own: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(GAP * F.greatest(apart.cast("long"), F.abs(F.col("size") - F.col("size_p"))) <= F.col("size") + F.col("size_p")).select("p", "x")
 
 
+def may_be_linked(p):
+    """Whether a row asks for its pivot ``p``: one of another label, before it in order, and of a size that a link allows."""
+    before = (p["deg"] > F.col("deg")) | (p["deg"] == F.col("deg")) & (p["x"] > F.col("x"))
+    return (p["label"] != F.col("label")) & before & (GAP * F.abs(p["size"] - F.col("size")) <= p["size"] + F.col("size"))
+
+
+def open_members(met: DataFrame) -> DataFrame:
+    """Groups (gid, p, x, deg, label) of the members (bucket, p, x, deg, label) whose bucket holds several labels.
+
+    Only members that share a bucket need to be compared: where all that were compared with the bucket's
+    pivot have one label, nothing is left to do there, whatever the pivot's other buckets hold.
+    """
+    mixed = met.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket")
+    return salted(met, mixed, "bucket", "x").select(F.col("p").alias("gid"), "p", "x", "deg", "label").distinct()
+
+
 def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFrame, DataFrame]:
     """Pairs (p, x) to compare and groups (gid, p, x, deg) still open after them, of groups (gid, p, x, label, deg).
 
@@ -333,30 +349,30 @@ def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFr
         need = F.greatest(F.lit(1), F.ceil((F.col("e") + side["e"]) / (2 * GAP)))
         return F.struct(F.least("bin", side["bin"]).alias("i"), F.greatest("bin", side["bin"]).alias("j"), F.when((need <= F.least("d", side["d"])) & ((F.col("label") != side["l0"]) | (F.col("label") != side["l1"])), F.col("d") - need + 1).alias("n"))
 
-    asked = salted(diffs, sides, "gid", "x").select("gid", "x", "label", "deg", F.explode(F.filter(F.transform("sides", way), lambda w: w["n"].isNotNull())).alias("w"), "first")
-    asked = asked.select("gid", "x", "label", "deg", F.xxhash64("gid", "w.i", "w.j").alias("spot"), "w.n", "first")
+    asked = salted(diffs, sides, "gid", "x").select("gid", "x", "label", "deg", (GAP * F.col("d") - F.col("e")).alias("size"), F.explode(F.filter(F.transform("sides", way), lambda w: w["n"].isNotNull())).alias("w"), "first")
+    asked = asked.select("gid", "x", "label", "deg", "size", F.xxhash64("gid", "w.i", "w.j").alias("spot"), "w.n", "first")
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                first = [np.frombuffer(f, np.int64)[:n] for f, n in zip(part.column(6).to_pylist(), part.column(5).to_pylist(), strict=True)]
+                first = [np.frombuffer(f, np.int64)[:n] for f, n in zip(part.column(7).to_pylist(), part.column(6).to_pylist(), strict=True)]
                 row = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]))
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(5)), pa.array(np.concatenate(first))], names=["gid", "x", "label", "deg", "spot", "h"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(6)), pa.array(np.concatenate(first))], names=["gid", "x", "label", "deg", "size", "spot", "h"])
 
-    met = asked.mapInArrow(run, "gid binary, x binary, label binary, deg long, spot long, h long")
+    met = asked.mapInArrow(run, "gid binary, x binary, label binary, deg long, size long, spot long, h long")
     met = materialize(met.withColumn("spot", F.xxhash64("spot", "h")).drop("h"), "elements")
     spots = met.groupBy("spot").agg(F.min(F.xxhash64("label")).alias("l0"), F.max(F.xxhash64("label")).alias("l1"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("s"), F.bit_xor(F.xxhash64("label", "x")).alias("t")).where("l0 <> l1")
     spots = spots.groupBy("n", "s", "t").agg(F.min("spot").alias("spot")).select("spot", "n")  # the same members meet once
     met = materialize(salted(met, spots, "spot", "x"), "meetings")
     nth = F.row_number().over(Window.partitionBy("spot").orderBy(F.desc("deg"), F.desc("x")))
-    top = met.select("spot", "deg", "x", "label").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
-    top = materialize(top.groupBy("spot").agg(F.reverse(F.array_sort(F.collect_list(F.struct("deg", "x", "label")))).alias("pivots")), "pivots")
+    top = met.select("spot", "deg", "x", "label", "size").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
+    top = materialize(top.groupBy("spot").agg(F.reverse(F.array_sort(F.collect_list(F.struct("deg", "x", "label", "size")))).alias("pivots")), "pivots")
+    seen = salted(met, top, "spot", "x").select("spot", "gid", "n", "x", "deg", "label", "size", "pivots")
     # a member gets the pivots of all its meetings together, so that a pair comes up once
-    seen = salted(met, top, "spot", "x").select("spot", "gid", "n", "x", "deg", "label", "pivots")
-    own = seen.groupBy("x").agg(F.first("deg").alias("deg"), F.first("label").alias("label"), F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
-    own = own.select("x", F.filter("pivots", lambda p: (p["label"] != F.col("label")) & ((p["deg"] > F.col("deg")) | (p["deg"] == F.col("deg")) & (p["x"] > F.col("x")))).alias("pivots")).where(F.size("pivots") > 0)
-    pairs = near_enough(own.select("x", F.transform("pivots", lambda p: p["x"]).alias("pivots")), texts)
+    own = seen.select("x", F.transform(F.filter("pivots", may_be_linked), lambda p: p["x"]).alias("pivots")).where(F.size("pivots") > 0)
+    own = own.groupBy("x").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
+    pairs = near_enough(own, texts)
     others = seen.where((F.col("n") > PIVOTS + 1) & ~F.exists("pivots", lambda p: p["x"] == F.col("x")))
     groups = others.withColumn("p", F.col("pivots")[0]["x"]).select(F.unhex(F.md5(F.concat("gid", "p"))).alias("gid"), "p", "x", "deg")
     return pairs, materialize(groups.distinct(), "groups")
@@ -384,27 +400,26 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
 
     Groups start as the band buckets, those with one pivot together, and their members are compared with
     the pivot. In each round components are formed anew, and groups whose members still have several
-    labels are told apart by ``smaller_groups``. A group never holds the pivots it came from.
+    labels are told apart by ``smaller_groups``; in the first, that is members of buckets that do
+    (``open_members``). A group never holds the pivots it came from.
     """
     picked = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(picked, "classes")
     bands = classes.select("cls", F.explode(band_hashes()).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(salted(bands, shared, "bucket", "cls"), "band-members")
     # the class with the most neighbours is near the middle of its group: a better pivot than any other
-    degrees = materialize(members.groupBy("cls").agg(F.sum("n").alias("deg")), "degrees")
+    members = salted(bands, shared, "bucket", "cls").withColumn("deg", F.sum("n").over(Window.partitionBy("cls")))
+    members = materialize(members.select("bucket", "cls", "deg"), "band-members")
     # texts of the classes that have candidates; a doc_id may come with several texts, so cls is checked
-    wanted = degrees.join(classes, "cls").select("cls", "rep", "sig")
+    wanted = materialize(classes.join(members.select("cls").distinct(), "cls").select("cls", "rep", "sig"), "candidates")
     texts = _texts(with_ids(docs.select("doc_id", "text"), wanted.select("rep")).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "sig", "text"))
     texts = materialize(texts.dropDuplicates(["cls"]), "candidate-texts", 2000)
-    members = materialize(members.join(degrees, "cls"), "band-members")
     pivots = members.groupBy("bucket").agg(F.max(F.struct("deg", "cls"))["cls"].alias("p"))
-    groups = salted(members, pivots, "bucket", "cls").where("cls <> p").select(F.col("p").alias("gid"), "p", F.col("cls").alias("x"), "deg").distinct()
-    groups, tested, labels, common = materialize(groups, "groups"), None, None, None
-    pairs = groups.select("p", "x")
+    met = materialize(salted(members, pivots, "bucket", "cls").where("cls <> p").select("bucket", "p", F.col("cls").alias("x"), "deg"), "band-members")
+    pairs, groups, tested, labels, common = materialize(met.select("p", "x").distinct(), "pairs"), None, None, None, None
     while True:
         if tested is not None:  # compared before, in either direction
-            pairs = pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct()
+            pairs = pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
             pairs = pairs.join(tested, ["p", "x"], "left_anti")
             pairs = materialize(pairs, "pairs")
         links = materialize(verify(pairs, texts), "confirmed", 1000).select(F.col("p").alias("a"), F.col("x").alias("b"))
@@ -414,9 +429,13 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
             labels = components(links.unionByName(labels.select(F.col("cls").alias("a"), F.col("label").alias("b"))))
         pairs = pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        named = groups.join(labels.withColumnRenamed("cls", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-        mixed = named.groupBy("gid").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("gid")
-        left = materialize(salted(named, mixed, "gid", "x"), "mixed")
+        named = (met if groups is None else groups).join(labels.withColumnRenamed("cls", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
+        if groups is None:
+            left = open_members(named)
+        else:
+            mixed = named.groupBy("gid").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("gid")
+            left = salted(named, mixed, "gid", "x")
+        left = materialize(left, "mixed")
         if left.isEmpty():
             return labels
         if common is None:

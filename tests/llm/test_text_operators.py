@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import neardup, quality, suffixdedup
 from orrery.llm.textkit import shingle_sets
@@ -132,6 +133,20 @@ def test_few_unlinked_pairs_are_compared(spark):
     assert [tuple(map(bytes, r)) for r in neardup.near_enough(spark.createDataFrame([(b"a", [b"b"])], "x binary, pivots array<binary>"), near).collect()] == [(b"b", b"a")]
 
 
+def test_members_of_settled_buckets_are_left_alone(spark):
+    rows = [(1, "p", "x", 5, "x"), (2, "p", "y", 4, "y"), (3, "p", "x", 5, "x"), (3, "p", "z", 3, "z"), (4, "p", "v", 2, "l"), (4, "p", "w", 2, "l")]
+    met = spark.createDataFrame([(b, p.encode(), x.encode(), d, n.encode()) for b, p, x, d, n in rows], "bucket long, p binary, x binary, deg long, label binary")
+    # x and y have one pivot but no bucket in common
+    assert sorted(bytes(r["x"]) for r in neardup.open_members(met).collect()) == [b"x", b"z"]
+
+
+def test_pivots_of_other_sizes_are_not_asked(spark):
+    row = spark.sql("select 100L size, 5L deg, 'x' x, 'a' label")
+    for size, label, deg, asked in [(75, "b", 9, 1), (74, "b", 9, 0), (133, "b", 9, 1), (134, "b", 9, 0), (100, "a", 9, 0), (100, "b", 4, 0)]:
+        pivots = F.array(F.struct(F.lit(deg).cast("long").alias("deg"), F.lit("p").alias("x"), F.lit(label).alias("label"), F.lit(size).cast("long").alias("size")))
+        assert row.withColumn("pivots", pivots).select(F.size(F.filter("pivots", neardup.may_be_linked))).first()[0] == asked
+
+
 @pytest.mark.parametrize("size", [1, 1 << 18])
 def test_rows_with_wanted_ids_are_kept(spark, monkeypatch, size):
     monkeypatch.setattr(neardup, "WORDS", size)
