@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .shared import arrow_map, materialize
+from .shared import arrow_map, bounded, materialize
 
 RATE = 8000
 ALIGN = 64
@@ -20,6 +20,8 @@ FRAME, HOP = 256, 64
 BANDS = ((2, 10), (10, 24), (24, 56), (56, 128))
 #: An anchor is paired with the peaks of this many following frames, band by band.
 FAN = 2
+#: Rows of an Arrow batch with texts or media.
+BATCH = 500
 #: Version 2 pages write the sorted time codes as differences.
 STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 _HANN = np.hanning(FRAME).astype(np.float32)
@@ -123,4 +125,4 @@ def describe(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def op8_media_columns(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return describe(materialize(media_columns(docs), "media", 1000, STORED))
+    return bounded(describe(materialize(media_columns(docs), "media", BATCH, STORED)), "media-digests", BATCH)

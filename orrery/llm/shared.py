@@ -45,6 +45,14 @@ def materialize(df: DataFrame, label: str, batch_rows: int | None = None, option
     return out
 
 
+def bounded(df: DataFrame, label: str, batch_rows: int) -> DataFrame:
+    """A small result of large rows, written now with Arrow batches of ``batch_rows``.
+
+    A plan that is run by the caller takes 10,000 rows a batch, whatever their size.
+    """
+    return materialize(df, label, batch_rows, {"compression": "zstd"})
+
+
 def forget(spark: SparkSession, tables: list[DataFrame]) -> None:
     """Delete tables that ``materialize`` wrote and that no later result reads."""
     for t in tables:

@@ -214,6 +214,12 @@ def test_media_table_is_stored_with_fingerprints(spark, tmp_path, monkeypatch):
     assert {r.feature.split(";", 1)[1] for r in other} == {f"pairs=3;{digest}"}
 
 
+def test_media_are_read_back_in_bounded_batches(spark, tmp_path):
+    odd_docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    # a plan with Python left in it would be run with the caller's batches of 10,000 rows
+    assert "MapInArrow" not in media.op8_media_columns(spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
 TEXTS = {
     "en": "the house was near the river and they would often walk there with the children in the evening light",
     "de": "das haus lag nahe am fluss und sie gingen oft abends mit den kindern dort spazieren über die wiese",
