@@ -27,6 +27,8 @@ END = 2
 #: sizes, never contents.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY = 400, 10_000, 64 << 10
 LEVEL = 3
+#: Ids that are looked at first for the sample, so that texts are read once; it changes no result.
+CANDIDATES = 4 * SAMPLE_DOCS
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int = END) -> bytes:
@@ -38,8 +40,12 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int = END) -> bytes:
 
     size = F.octet_length("text")
     usable = docs.where(F.col("doc_id").isNotNull() & (size > 0) & (size <= SAMPLE_BYTES)).select("doc_id", "text")
-    picked = [r[0] for r in usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    texts = sorted(r["text"] for r in usable.where(F.col("doc_id").isin(picked)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()) if picked else []
+    for some, n in ((docs.where("doc_id is not null"), CANDIDATES), (usable, SAMPLE_DOCS)):
+        picked = [r[0] for r in some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+        found = usable.where(F.col("doc_id").isin(picked)).groupBy("doc_id").agg(F.min("text").alias("text"))
+        texts = sorted(r["text"] for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()) if picked else []
+        if len(texts) == SAMPLE_DOCS or len(picked) < n:  # as many as wanted, or no other ids
+            break
     ids = [np.frombuffer(x, "<u4").astype(_width(tokenizer)).tobytes() for x in encoder(tokenizer).ids(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY, [x[i : i + 2048] for x in ids for i in range(0, len(x), 2048)]).as_bytes()

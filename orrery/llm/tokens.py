@@ -60,6 +60,7 @@ class Encoder:
         self.letters = _byte_letters()
         self.lower = self.tokenizer.normalizer is not None
         self.pieces, self.words = _Memo(), _Memo()
+        self.four = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.marks = {c: self._encode([c])[0] for c in ",."}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -73,7 +74,9 @@ class Encoder:
             coded = word.replace(" ", "\u0120")
         else:
             coded = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+        found = self.model.tokenize(coded)
+        # a word of one token, as most are, shares its bytes with all others of that token
+        return self.four[found[0].id] if len(found) == 1 else b"".join([self.four[t.id] for t in found])
 
     def _pieces(self, new: set[str]) -> None:
         """Fill the memo of pieces: mostly a word, or a word with a comma or full stop."""

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orrery.llm import langid, media, mixing, packing, token_files, tokens, toxicity, warc
@@ -59,6 +60,23 @@ def test_encoder_is_exact(path):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == want
 
 
+def test_words_of_one_token_share_their_bytes():
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert e._word(" the") is e._word(" the") and len(e._word(" the")) == 4
+
+
+@pytest.mark.parametrize("first", [20, 200])
+def test_dictionary_sample_is_the_first_by_hash(spark, monkeypatch, first):
+    monkeypatch.setattr(token_files, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(token_files, "CANDIDATES", first)
+    rows = [(k, None if k % 3 else words(700 + k, k)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    names = [r[0] for r in docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = token_files.train_dictionary(docs, path)
+    assert got and got == token_files.train_dictionary(docs.where(F.col("doc_id").isin(names)), path)
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO", 50)
     own, plain = tokens.Encoder(WORDS), Tokenizer.from_file(WORDS)
