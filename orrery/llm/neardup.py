@@ -47,6 +47,15 @@ WORDS = 1 << 18
 BINS = 5
 #: Pivots of a set of members with a common element of their differences.
 PIVOTS = 64
+#: Bytes of documents a task, where tables derived from them are computed in Python or written: a task and a file
+#: for each shuffle partition cost more than the work, where partitions are many and small.
+TASK_BYTES = 2 << 20
+#: Bytes of a written table that is read back as one partition, so that what follows needs no shuffle.
+ONE_READ = 1 << 19
+#: Bytes of a table that a join sends to all executors instead of shuffling both sides.
+SENT = 2 << 20
+#: More tasks than any shuffle has, for tables of unknown size.
+MOST_TASKS = 1 << 20
 _R = np.random.default_rng(20240229)
 _A = _R.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _R.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
@@ -94,6 +103,28 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the bytes of ``df``: of a table in files their size, of unknown ones more than any table has."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def tasks_for(docs: DataFrame) -> int:
+    """Tasks for tables derived from ``docs``: in proportion to its bytes, and enough for all cores."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(2 * cores, min(stored_bytes(docs) // TASK_BYTES, MOST_TASKS))
+
+
+def in_tasks(df: DataFrame, tasks: int | None) -> DataFrame:
+    """``df`` with its partitions put together to at most ``tasks``, without a shuffle (None: as they are)."""
+    return df if tasks is None else df.coalesce(tasks)
+
+
+def saved(df: DataFrame, label: str, tasks: int | None, batch_rows: int | None = None) -> DataFrame:
+    """``materialize`` by at most ``tasks`` tasks; a small table is read back as one partition."""
+    out = materialize(in_tasks(df, tasks), label, batch_rows)
+    return out.coalesce(1) if stored_bytes(out) <= ONE_READ else out
+
+
 def prepare(docs: DataFrame, digests: bool = False) -> DataFrame:
     """(doc_id, n_shingles, cls, sig) of each row: cls names its shingle set, null if that is empty.
 
@@ -119,8 +150,11 @@ def prepare(docs: DataFrame, digests: bool = False) -> DataFrame:
 def salted(rows: DataFrame, few: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
     """Join of ``rows`` with ``few`` (one row a key) where a key may hold very many of ``rows``.
 
-    Rows of one key are spread over SALTS parts by ``by``; ``few`` is repeated for each part.
+    Rows of one key are spread over SALTS parts by ``by``; ``few`` is repeated for each part. Where
+    ``few`` is known to be small it goes to all executors instead, and ``rows`` stay where they are.
     """
+    if stored_bytes(few) <= SENT:
+        return rows.join(F.broadcast(few), on, how)
     parts = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(parts, [on, "__salt"], how).drop("__salt")
 
@@ -148,7 +182,7 @@ def plausible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return at
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, tasks: int | None = None) -> DataFrame:
     """Pairs (p, x) with 100 * intersection >= 75 * union, of those whose signatures are plausible."""
 
     def run(batches):
@@ -180,7 +214,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if of[-1]:
                 sig, text, own = sigs[of[-1]], batch.column(3)[int(of[-1]) - 1].as_py(), None
 
-    return beside_pivots(pairs, texts, ["sig", "text"], []).mapInArrow(run, "p binary, x binary")
+    return in_tasks(beside_pivots(pairs, texts, ["sig", "text"], []), tasks).mapInArrow(run, "p binary, x binary")
 
 
 def _sets_beside_pivots(batches):
@@ -267,7 +301,7 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
     return np.array(sorted((r["h"] + (1 << 63), r["n"]) for r in counts), np.uint64).reshape(-1, 2)
 
 
-def differences(members: DataFrame, texts: DataFrame, common) -> DataFrame:
+def differences(members: DataFrame, texts: DataFrame, common, tasks: int | None = None) -> DataFrame:
     """(gid, x, label, deg, d, e, near, first) of each member (gid, p, x, label, deg).
 
     d is the size of x's difference from the pivot, e is GAP * d - |x|, near says that x and the
@@ -300,7 +334,7 @@ def differences(members: DataFrame, texts: DataFrame, common) -> DataFrame:
             cols = [part.column(3), part.column(1), part.column(4), part.column(5), pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(near), pa.array(first, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, schema=kind)
 
-    rows = beside_pivots(members, texts, ["text"], ["gid", "label", "deg"])
+    rows = in_tasks(beside_pivots(members, texts, ["text"], ["gid", "label", "deg"]), tasks)
     return rows.mapInArrow(run, "gid binary, x binary, label binary, deg long, d long, e long, near boolean, first binary").select(*names)
 
 
@@ -332,8 +366,8 @@ def open_members(met: DataFrame) -> DataFrame:
     return salted(met, mixed, "bucket", "x").select(F.col("p").alias("gid"), "p", "x", "deg", "label").distinct()
 
 
-def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFrame, DataFrame]:
-    """Pairs (p, x) to compare and groups (gid, p, x, deg) still open after them, of groups (gid, p, x, label, deg).
+def smaller_groups(members: DataFrame, texts: DataFrame, common, tasks: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs (p, x) to compare and groups (gid, p, x, deg) still open after them, of groups (gid, p, x, label, deg); None without any.
 
     Members are put in bins by the size of their differences. For each bin on the other side it follows from
     the least ``e`` there how many elements a pair must share, so how many of the first ones have to
@@ -341,7 +375,8 @@ def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFr
     at each other's bins with an element in common meet. Of those that meet, PIVOTS are compared
     with all; the others form a group, one for all that have a first pivot in common.
     """
-    diffs = materialize(differences(members, texts, common).withColumn("bin", 2 * F.floor(F.log("d") * BINS).cast("int") + F.col("near").cast("int")), "differences")
+    diffs = differences(members, texts, common, tasks).withColumn("bin", 2 * F.floor(F.log("d") * BINS).cast("int") + F.col("near").cast("int"))
+    diffs = saved(diffs, "differences", tasks)
     sides = diffs.groupBy("gid", "bin").agg(F.min("e").alias("e"), F.max("d").alias("d"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     sides = sides.groupBy("gid").agg(F.collect_list(F.struct("bin", "e", "d", "l0", "l1")).alias("sides"))  # bins grow with the logarithm of d
 
@@ -360,14 +395,17 @@ def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFr
                 row = pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first]))
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(6)), pa.array(np.concatenate(first))], names=["gid", "x", "label", "deg", "size", "spot", "h"])
 
-    met = asked.mapInArrow(run, "gid binary, x binary, label binary, deg long, size long, spot long, h long")
-    met = materialize(met.withColumn("spot", F.xxhash64("spot", "h")).drop("h"), "elements")
+    met = in_tasks(asked, tasks).mapInArrow(run, "gid binary, x binary, label binary, deg long, size long, spot long, h long")
+    met = saved(met.withColumn("spot", F.xxhash64("spot", "h")).drop("h"), "elements", tasks)
     spots = met.groupBy("spot").agg(F.min(F.xxhash64("label")).alias("l0"), F.max(F.xxhash64("label")).alias("l1"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("s"), F.bit_xor(F.xxhash64("label", "x")).alias("t")).where("l0 <> l1")
     spots = spots.groupBy("n", "s", "t").agg(F.min("spot").alias("spot")).select("spot", "n")  # the same members meet once
-    met = materialize(salted(met, spots, "spot", "x"), "meetings")
+    spots = saved(spots, "spots", tasks)
+    if spots.isEmpty():
+        return None
+    met = saved(salted(met, spots, "spot", "x"), "meetings", tasks)
     nth = F.row_number().over(Window.partitionBy("spot").orderBy(F.desc("deg"), F.desc("x")))
     top = met.select("spot", "deg", "x", "label", "size").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
-    top = materialize(top.groupBy("spot").agg(F.reverse(F.array_sort(F.collect_list(F.struct("deg", "x", "label", "size")))).alias("pivots")), "pivots")
+    top = saved(top.groupBy("spot").agg(F.reverse(F.array_sort(F.collect_list(F.struct("deg", "x", "label", "size")))).alias("pivots")), "pivots", tasks)
     seen = salted(met, top, "spot", "x").select("spot", "gid", "n", "x", "deg", "label", "size", "pivots")
     # a member gets the pivots of all its meetings together, so that a pair comes up once
     own = seen.select("x", F.transform(F.filter("pivots", may_be_linked), lambda p: p["x"]).alias("pivots")).where(F.size("pivots") > 0)
@@ -375,7 +413,7 @@ def smaller_groups(members: DataFrame, texts: DataFrame, common) -> tuple[DataFr
     pairs = near_enough(own, texts)
     others = seen.where((F.col("n") > PIVOTS + 1) & ~F.exists("pivots", lambda p: p["x"] == F.col("x")))
     groups = others.withColumn("p", F.col("pivots")[0]["x"]).select(F.unhex(F.md5(F.concat("gid", "p"))).alias("gid"), "p", "x", "deg")
-    return pairs, materialize(groups.distinct(), "groups")
+    return pairs, saved(groups.distinct(), "groups", tasks)
 
 
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -395,38 +433,40 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where(F.getbit("__bits", F.col("__place").bitwiseAND(63).cast("int")) == 1).select(docs.columns)
 
 
-def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cls, label) of the classes that are linked with others.
+def link_classes(base: DataFrame, docs: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cls, rep, n, sig) of all classes, with smallest doc_id and number of rows, and (cls, label) of those that are linked with others.
 
     Groups start as the band buckets, those with one pivot together, and their members are compared with
     the pivot. In each round components are formed anew, and groups whose members still have several
     labels are told apart by ``smaller_groups``; in the first, that is members of buckets that do
     (``open_members``). A group never holds the pivots it came from.
     """
-    picked = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = materialize(picked, "classes")
+    picked = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    classes = saved(picked, "classes", tasks)
     bands = classes.select("cls", F.explode(band_hashes()).alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = saved(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets", tasks)
     # the class with the most neighbours is near the middle of its group: a better pivot than any other
-    members = salted(bands, shared, "bucket", "cls").withColumn("deg", F.sum("n").over(Window.partitionBy("cls")))
-    members = materialize(members.select("bucket", "cls", "deg"), "band-members")
+    members = salted(bands, shared, "bucket", "cls").groupBy("cls").agg(F.sum("n").alias("deg"), F.collect_list("bucket").alias("buckets"))
+    wanted = saved(classes.join(members, "cls").select("cls", "rep", "sig", "deg", "buckets"), "candidates", tasks)
+    members = wanted.select(F.explode("buckets").alias("bucket"), "cls", "deg")
     # texts of the classes that have candidates; a doc_id may come with several texts, so cls is checked
-    wanted = materialize(classes.join(members.select("cls").distinct(), "cls").select("cls", "rep", "sig"), "candidates")
-    texts = _texts(with_ids(docs.select("doc_id", "text"), wanted.select("rep")).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "sig", "text"))
-    texts = materialize(texts.dropDuplicates(["cls"]), "candidate-texts", 2000)
+    rows = with_ids(docs.select("doc_id", "text"), wanted.select("rep")).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "sig", "text")
+    texts = saved(_texts(in_tasks(rows, tasks)).dropDuplicates(["cls"]), "candidate-texts", tasks, 2000)
     pivots = members.groupBy("bucket").agg(F.max(F.struct("deg", "cls"))["cls"].alias("p"))
-    met = materialize(salted(members, pivots, "bucket", "cls").where("cls <> p").select("bucket", "p", F.col("cls").alias("x"), "deg"), "band-members")
-    pairs, groups, tested, labels, common = materialize(met.select("p", "x").distinct(), "pairs"), None, None, None, None
+    met = saved(salted(members, pivots, "bucket", "cls").where("cls <> p").select("bucket", "p", F.col("cls").alias("x"), "deg"), "band-members", tasks)
+    pairs, groups, tested, labels, common = saved(met.select("p", "x").distinct(), "pairs", tasks), None, None, None, None
     while True:
         if tested is not None:  # compared before, in either direction
             pairs = pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
             pairs = pairs.join(tested, ["p", "x"], "left_anti")
-            pairs = materialize(pairs, "pairs")
-        links = materialize(verify(pairs, texts), "confirmed", 1000).select(F.col("p").alias("a"), F.col("x").alias("b"))
+            pairs = saved(pairs, "pairs", tasks)
+        links = saved(verify(pairs, texts, tasks), "confirmed", tasks, 1000).select(F.col("p").alias("a"), F.col("x").alias("b"))
         if labels is None:
             labels = components(links)
         elif not links.isEmpty():
             labels = components(links.unionByName(labels.select(F.col("cls").alias("a"), F.col("label").alias("b"))))
+        if groups is not None and groups.isEmpty():
+            return classes, labels
         pairs = pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         named = (met if groups is None else groups).join(labels.withColumnRenamed("cls", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
@@ -435,12 +475,15 @@ def link_classes(base: DataFrame, docs: DataFrame) -> DataFrame:
         else:
             mixed = named.groupBy("gid").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("gid")
             left = salted(named, mixed, "gid", "x")
-        left = materialize(left, "mixed")
+        left = saved(left, "mixed", tasks)
         if left.isEmpty():
-            return labels
+            return classes, labels
         if common is None:
             common = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts))  # at most COMMON rows
-        pairs, groups = smaller_groups(left, texts, common)
+        found = smaller_groups(left, texts, common, tasks)
+        if found is None:
+            return classes, labels
+        pairs, groups = found
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -467,9 +510,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id counts only where a component has no other. Other columns of ``docs`` play no part. Texts
     of any length are hashed whole, one at a time. An empty table gives an empty table.
     """
-    base = materialize(prepare(docs), "near-base")
-    labels = link_classes(base, docs)
-    own = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).join(labels, "cls", "left")
+    base, tasks = materialize(prepare(docs), "near-base"), tasks_for(docs)
+    classes, labels = link_classes(base, docs, tasks)
+    own = classes.select("cls", F.col("rep").alias("low"), "n").join(labels, "cls", "left")
     # most classes are one document without links: their component is the document itself
     own = own.where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "cls"))
     lowest = own.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -477,7 +520,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # copies of one text share a class: the class side is repeated over salts
     named = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = base.select("doc_id", "n_shingles", "cls").withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = rows.join(named, ["cls", "__salt"], "left")
+    out = in_tasks(rows.join(named, ["cls", "__salt"], "left"), tasks)
     out = out.withColumn("component_id", F.when(F.col("found").isNull(), F.col("doc_id")).otherwise(F.col("found.component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -491,7 +534,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives an empty table.
     """
     base = materialize(prepare(docs, digests=True), "near-base")
-    labels = link_classes(base, docs)
+    _, labels = link_classes(base, docs, tasks_for(docs))
     own = base.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest")).alias("row"))
     first = own.join(labels, "cls", "left").groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("row").alias("row"))
     keys = first.select("row.doc_id", "row.digest").unionByName(base.where("cls is null").select("doc_id", "digest"))

@@ -97,6 +97,32 @@ def test_groups_are_told_apart_with_one_pivot(spark, monkeypatch):
     assert got == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("small", [0, 1 << 21])
+def test_small_tables_take_few_tasks_whatever_the_shuffle_partitions(spark, monkeypatch, tmp_path, small):
+    for name in ("ONE_READ", "SENT"):
+        monkeypatch.setattr(neardup, name, small, raising=False)
+    rows, written, write = near_rows(), [], neardup.materialize
+
+    def counted(df, label, *more):
+        out = write(df, label, *more)
+        written.append((label, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2).write.parquet(str(tmp_path / "docs"))
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.read.parquet(str(tmp_path / "docs"))).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(brute_components(rows))
+    assert max(n for _, n in written) <= 2 * spark.sparkContext.defaultParallelism, written
+
+
 @pytest.mark.parametrize("most", [0, 200_000])
 def test_components_by_one_task_and_by_stars(spark, monkeypatch, most):
     monkeypatch.setattr(neardup, "ONE_TASK", most)
