@@ -60,6 +60,37 @@ def test_encoder_is_exact(path):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == want
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_encoder_is_exact_at_line_ends_and_signs(path, monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 400)
+    rng = random.Random(4)
+    some = ["word", "Word", "WORD", "Été", "ÀÞßÿ", "×a", "a÷", "naïve,", "it's", "We'LL.", "end.", "(a)", "ab$$$", "ÉA&&,", "x_", "it''", "1,000.", "a1", "日本", "\u0301b", "e\u0301", ",", "...", "<", "|", "\x85", "\u2003", "a\u3000b"]
+    ends = [" "] * 12 + ["\n"] * 4 + ["\n\n", "\n\n\n", " \n", "\n ", "\t", "  ", "", ".\n", ", "]
+    texts = ["".join(rng.choice(some) + rng.choice(ends if k % 3 else ends[:16]) for _ in range(rng.randrange(12))) for k in range(3000)]
+    texts += [t.strip() for t in texts] + ["\n", " ", "a", "\na", "a\n", ",", "a" * 5000, "日" * 2000]
+    own, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == want
+
+
+def test_a_word_is_encoded_once_whatever_stands_around_it():
+    class Spy:
+        def __init__(self, model):
+            self.model, self.seen = model, []
+
+        def tokenize(self, word):
+            self.seen.append(word)
+            return self.model.tokenize(word)
+
+    own, plain = tokens.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    own.model = spy = Spy(own.model)
+    texts = ["Tonder tonder, TONDER.\ntonder\nTonder&&& tonder$", "tonder tonder.", "Tonder"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert spy.seen == ["tonder"]
+
+
 def test_words_of_one_token_share_their_bytes():
     e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert e._word(" the") is e._word(" the") and len(e._word(" the")) == 4
